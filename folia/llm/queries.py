@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import licenses, ogg
+from . import crf, licenses, minhash, ogg, ppm, sstable
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_ogg_media": ogg.op2_ogg_media,
+    "op3_minhash": minhash.op3_minhash,
+    "op4_sstable": sstable.op4_sstable,
+    "op5_ppm": ppm.op5_ppm,
+    "op6_toxicity": crf.op6_toxicity,
 }
 
 ORACLES = {
