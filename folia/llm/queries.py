@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crf, licenses, minhash, ogg, ppm, sstable
+from . import crf, lattice, licenses, minhash, ogg, packing, ppm, sstable, suffix, transducer
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -11,8 +11,13 @@ QUERIES = {
     "op4_sstable": sstable.op4_sstable,
     "op5_ppm": ppm.op5_ppm,
     "op6_toxicity": crf.op6_toxicity,
+    "op7_lattice": lattice.op7_lattice,
+    "op8_packing": packing.op8_packing,
+    "op9_line_dedup": suffix.op9_line_dedup,
+    "op10_sentencepiece": transducer.op10_sentencepiece,
 }
 
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
+    "op9_line_dedup": suffix.oracle(),
 }
