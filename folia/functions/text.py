@@ -155,7 +155,7 @@ def content_text(tag: Column, text: Column) -> Column:
 def escape_xml(c: Column) -> Column:
     """Text for XML: no control characters but tab, line feed and return; invalid UTF-8 and the two non-characters as U+FFFD."""
     out = F.regexp_replace(F.make_valid_utf8(c), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
-    out = F.replace(F.replace(out, F.lit("￾"), F.lit("�")), F.lit("￿"), F.lit("�"))
+    out = F.replace(F.replace(out, F.lit("\ufffe"), F.lit("\ufffd")), F.lit("\uffff"), F.lit("\ufffd"))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
