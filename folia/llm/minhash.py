@@ -24,6 +24,8 @@ _random = np.random.default_rng(7)
 FACTOR = _random.integers(0, 1 << 32, SLOTS, np.uint32) | np.uint32(1)
 SHIFT = _random.integers(0, 1 << 32, SLOTS, np.uint32)
 PART = 1024  # shingles hashed at once
+#: Pairs in mixed buckets that are worth comparing at once, as a multiple of all entries of all buckets; beyond, another round of stars comes first.
+WORTH = 50
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -136,6 +138,7 @@ class _Search:
         classed = self.keep(full.select("id", "n", "fp0", "fp1").join(least, ["fp0", "fp1", "n"]).select("id", "rep"), "class")
         nodes = full.join(classed.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
         nodes = self.keep(nodes.select("id", "planes", "bands"), "nodes")
+        n_nodes = nodes.count()
         # a leader for each bucket of two or more, another one in each, since the key turns the order of the ids over
         rows = nodes.select(F.explode("bands").alias("key"), "id")
         leaders = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("x")).where("c > 1")
@@ -166,7 +169,8 @@ class _Search:
             ).where("low < high")
             mixed = self.keep(mixed.select("key", F.col("m.x").bitwiseXOR(turn).alias("leader"), F.col("m.component").alias("lead_component")), "mixed")
             rows = self.keep(open_rows.select("key", "id", "component").join(mixed, "key"), "rows")
-            if not grew or mixed.isEmpty():
+            pairs = rows.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+            if not grew or pairs <= WORTH * BANDS * n_nodes:
                 break
         # the rest in full: members of one bucket in different components
         one, two = (rows.select("key", F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
