@@ -52,3 +52,43 @@ def test_dump_to_documents(spark):
     assert error is None and sum(b["kind"] == "table" for b in back) == 2
     if fonts.find("Regular"):
         assert pdf.files(blocks).first().pages == 1
+
+
+def test_packages_to_pages(spark):
+    import io
+    import zipfile
+
+    from folia.plans import convert
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", "<w:document><w:body><w:p><w:r><w:t>Some words</w:t></w:r></w:p></w:body></w:document>")
+    files = spark.createDataFrame([("good", bytearray(out.getvalue())), ("bad", bytearray(b"%PDF-1.4"))], "doc_id string, content binary")
+    if not fonts.find("Regular"):
+        pytest.skip("no font")
+    got = {r.doc_id: r for r in convert.packages_to_pages(files).collect()}
+    assert got["good"].status == "ok" and bytes(got["good"].content).startswith(b"%PDF-1.7") and got["bad"].content is None and got["bad"].status != "ok"
+
+
+def test_external_programs():
+    from folia.sources import external
+
+    assert external.run(["python3", "-c", "print(1)"]).output == b"1\n"
+    assert external.run(["no-such-program"]).code == 127
+    assert external.run(["python3", "-c", "import time; time.sleep(9)"], timeout=0.5).code == 124
+    if not external.available("pdftohtml"):
+        assert external.dump_pdf(b"%PDF")[0] == "no program"
+
+
+def test_stream_of_packages(spark, tmp_path):
+    import zipfile
+
+    from folia import streaming
+
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / "in" / f"{k}.docx", "w") as z:
+            z.writestr("word/document.xml", f"<w:document><w:body><w:p><w:r><w:t>document {k}</w:t></w:r></w:p></w:body></w:document>")
+    query = streaming.blocks_of_new_files(spark, str(tmp_path / "in"), files_per_batch=1).writeStream.format("memory").queryName("stream_blocks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(r.runs[0].text for r in spark.table("stream_blocks").collect()) == ["document 0", "document 1"]
