@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: the one with the least id."""
-    removed = minhash.near_duplicates(docs, shingle=5).where(~F.col("kept")).select(F.col("doc_id").alias("removed id")).distinct()
+    removed = minhash.near_duplicates(docs, shingle=5).where(~F.col("kept")).select(F.col("doc_id").alias("removed id")).distinct().hint("merge")
     return docs.join(removed, F.col("doc_id").cast("long") == F.col("removed id"), "left_anti")
 
 

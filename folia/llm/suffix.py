@@ -136,6 +136,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min
     session(docs)
     dead = repeated_lines(docs, text, id_col, min_words).select(F.col("k1").alias("join k1"), F.col("k2").alias("join k2"), F.col("dead").alias("join dead"))
     k1, k2 = _row_key(text, id_col)
+    dead = dead.hint("merge")  # it grows with the table: never broadcast, and the plan is the same at every size
     names = [c for c in docs.columns if c != to]
     joined = docs.select(*names, k1.alias("row k1"), k2.alias("row k2")).join(dead, (F.col("row k1") == F.col("join k1")) & (F.col("row k2") == F.col("join k2")), "left")
     gone = F.col("join dead")
