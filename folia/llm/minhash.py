@@ -26,6 +26,7 @@ SHIFT = _random.integers(0, 1 << 32, SLOTS, np.uint32)
 PART = 1024  # shingles hashed at once
 #: Pairs in mixed buckets that are worth comparing at once, as a multiple of all entries of all buckets; beyond, another round of stars comes first.
 WORTH = 50
+SLACK = 2
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -172,11 +173,15 @@ class _Search:
             pairs = rows.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
             if not grew or pairs <= WORTH * BANDS * n_nodes:
                 break
-        # the rest in full: members of one bucket in different components
-        one, two = (rows.select("key", F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        ps = [nodes.select(F.col("id").alias(c), F.col("planes").alias(f"p{c}")) for c in "ab"]
-        differ = disagreeing(F.col("pa"), F.col("pb"))
-        rest = one.join(ps[0], "a").join(two.join(ps[1], "b"), "key").where("ca < cb").where(differ <= most_disagreeing(self.percent))
+        # the rest in full: members of one bucket in different components. The full sets ride along as 32-bit hashes, so that the
+        # join gives links only; what two hashes in one can hide is made up for by SLACK, and what they feign is confirmed after
+        small = sets.select("id", F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("small"))
+        full = rows.select("key", "id", "component").join(nodes.select("id", "planes"), "id").join(small, "id")
+        one, two = (full.select("key", F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.col("planes").alias(f"p{c}"), F.col("small").alias(f"s{c}")) for c in "ab")
+        shared = F.size(F.array_intersect("sa", "sb")) + SLACK
+        near = 100 * shared >= self.percent * (F.size("sa") + F.size("sb") - shared)
+        likely = F.when(disagreeing(F.col("pa"), F.col("pb")) <= most_disagreeing(self.percent), near).otherwise(F.lit(False))
+        rest = one.join(two, "key").where("ca < cb").where(likely)
         rest = self.keep(self.confirmed(rest.select("a", "b").distinct(), sets), "links")
         if not rest.isEmpty():
             links = rest if links is None else links.union(rest)
