@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize, session, utf8
 
 ORDER = 4
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 #: Bytes that no UTF-8 text holds: before a text's first byte, and after its last.
 BEFORE, END = 0xFE, 0xFF
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def _grams(data: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
