@@ -87,7 +87,7 @@ BOXES_SQL = """
 
 
 def boxes(t) -> DataFrame:
-    e = t("events").where("event_id < 4000")
+    e = t("events")
     num = lambda k, m, a=0: ((F.col("event_id") * k) % m + a).cast("double")
     return e.select((F.col("user_id") % 40).alias("page"), F.col("event_id").alias("no"), num(37, 700).alias("left"), num(53, 800).alias("top"), num(11, 90, 5).alias("width"), num(7, 20, 8).alias("height"))
 
