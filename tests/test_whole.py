@@ -5,7 +5,7 @@ import random
 import pytest
 
 #: Bounds in the catalogue's SQL, lifted here so that it gives the whole result.
-CUTS = (" WHERE event_id < 4000",)
+CUTS = (" WHERE event_id < 4000", " WHERE event_id < 6000")
 EVENTS = [*range(100), *range(3950, 4100), *range(5950, 6100), *range(99_000, 99_100)]
 
 
@@ -42,3 +42,9 @@ def whole(spark, tmp_path_factory):
 def test_boxes_are_of_all_events(whole, name):
     got, want = whole(name)
     assert got and got == want
+
+
+@pytest.mark.parametrize("name", ["touching_segments", "segment_components", "covered_edges", "rule_merge"])
+def test_segments_are_of_all_events(whole, name):
+    got, want = whole(name)
+    assert got and got == want
