@@ -285,8 +285,8 @@ def vmerge_origin(t):
 
 @query("SELECT doc_id, CAST(coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id < 2000)")
 def prefix_offsets(t):
-    d = t("documents").where("doc_id < 2000").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), F.lit(0).alias("file"))
-    return windows.starts_before(d, ["file"], ["doc_id"], "size").select("doc_id", "start")
+    d = t("documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    return windows.starts_overall(d, ["doc_id"], "size").select("doc_id", "start")
 
 
 @query("""SELECT g AS part, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM (SELECT doc_id, quality AS g, doc_id - row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS i FROM (SELECT DISTINCT doc_id, quality FROM labels)) GROUP BY g, i""")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions import continues_paragraph
+from folia.plans.settle import settle
 
 
 def islands(df: DataFrame, part: list[str], order: list[str], boundary, to: str = "island") -> DataFrame:
@@ -78,6 +79,15 @@ def starts_before(df: DataFrame, part: list[str], order: list[str], size: str, t
     return df.withColumn(to, F.coalesce(F.sum(size).over(w), F.lit(0)))
 
 
+def starts_overall(df: DataFrame, order: list[str], size: str, to: str = "start") -> DataFrame:
+    """As starts_before over the whole frame, by range partitions and the sums of those before; written, so that every step sees the same partitions."""
+    placed = settle(df.repartitionByRange(*order).withColumn("range part", F.spark_partition_id()), "starts")
+    sums = placed.groupBy("range part").agg(F.sum(size).alias("part size"), F.lit(0).alias("all"))  # a row for each partition
+    before = starts_before(sums, ["all"], ["range part"], "part size", "part start").select("range part", "part start")
+    own = starts_before(placed, ["range part"], order, size, to).join(F.broadcast(before), "range part")
+    return own.withColumn(to, F.col(to) + F.col("part start")).select(*df.columns, to)
+
+
 def consecutive_ranges(df: DataFrame, part: list[str], value: str) -> DataFrame:
     """Distinct integers as ranges: part, first, last, n."""
     w = Window.partitionBy(*part).orderBy(value)

@@ -5,13 +5,19 @@ import random
 import pytest
 
 #: Bounds in the catalogue's SQL, lifted here so that it gives the whole result.
-CUTS = (" WHERE event_id < 4000", " WHERE event_id < 6000")
+CUTS = (" WHERE event_id < 4000", " WHERE event_id < 6000", " WHERE doc_id < 2000")
 EVENTS = [*range(100), *range(3950, 4100), *range(5950, 6100), *range(99_000, 99_100)]
 
 
 def tables(folder):
     rng = random.Random(5)
-    return {"events": ("event_id long, user_id long", [(k, rng.randrange(6)) for k in EVENTS])}
+    texts = [None, "", "é", "ab-\n\ncd", "one two-\nthree\n-\nfour\n"]
+    documents = [(k, rng.choice(texts), "en", f"src{k % 3}") for k in (*range(20), *range(290, 310), *range(1990, 2010), *range(9_000, 9_020))]
+    rng.shuffle(documents)
+    return {
+        "events": ("event_id long, user_id long", [(k, rng.randrange(6)) for k in EVENTS]),
+        "documents": ("doc_id long, text string, lang string, source string", documents),
+    }
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +54,16 @@ def test_boxes_are_of_all_events(whole, name):
 def test_segments_are_of_all_events(whole, name):
     got, want = whole(name)
     assert got and got == want
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_offsets_are_of_all_documents(spark, whole, coalesce):
+    """In one range partition and in several."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, coalesce)
+    try:
+        got, want = whole("prefix_offsets")
+    finally:
+        spark.conf.set(name, before)
+    assert len(got) == 80 and got == want
