@@ -430,7 +430,7 @@ def cross_stamp(t):
 
 @query("""SELECT doc_id, round(sum(coalesce(CASE WHEN c BETWEEN 'a' AND 'z' THEN 0.4::DOUBLE + (ascii(c) % 7) * 0.05::DOUBLE END, 0.5::DOUBLE) * 11.0::DOUBLE), 4) AS width FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE doc_id < 300 AND text <> '') GROUP BY doc_id""")
 def glyph_advance_sum(t):
-    texts = t("documents").where("doc_id < 300").select("doc_id", "text", F.lit(11.0).alias("size"))
+    texts = t("documents").select("doc_id", "text", F.lit(11.0).alias("size"))
     letters = [chr(c) for c in range(97, 123)]
     cmap = texts.sparkSession.createDataFrame([(c, ord(c)) for c in letters], "char string, glyph int")
     widths = texts.sparkSession.createDataFrame([(ord(c), 0.4 + (ord(c) % 7) * 0.05) for c in letters], "glyph int, advance double")
@@ -601,5 +601,5 @@ def html_counts(t):
     SELECT doc_id, md5(arg_max(s, line_no)) AS joined FROM f GROUP BY doc_id""")
 def join_lines(t):
     hyphen = F.when(F.col("line_no") % 3 == 0, F.concat("line", F.lit("-"))).otherwise(F.col("line"))
-    lines = source_lines(t).where("doc_id < 300").select("doc_id", F.struct("line_no", hyphen.alias("line")).alias("x"))
+    lines = source_lines(t).select("doc_id", F.struct("line_no", hyphen.alias("line")).alias("x"))
     return lines.groupBy("doc_id").agg(F.md5(fn.join_lines(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]))).alias("joined"))

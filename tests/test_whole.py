@@ -5,7 +5,7 @@ import random
 import pytest
 
 #: Bounds in the catalogue's SQL, lifted here so that it gives the whole result.
-CUTS = (" WHERE event_id < 4000", " WHERE event_id < 6000", " WHERE doc_id < 2000")
+CUTS = (" WHERE event_id < 4000", " WHERE event_id < 6000", " WHERE doc_id < 2000", "doc_id < 300 AND ", " WHERE doc_id < 300")
 EVENTS = [*range(100), *range(3950, 4100), *range(5950, 6100), *range(99_000, 99_100)]
 
 
@@ -67,3 +67,9 @@ def test_offsets_are_of_all_documents(spark, whole, coalesce):
     finally:
         spark.conf.set(name, before)
     assert len(got) == 80 and got == want
+
+
+@pytest.mark.parametrize("name", ["glyph_advance_sum", "join_lines"])
+def test_texts_are_of_all_documents(whole, name):
+    got, want = whole(name)
+    assert got and got == want
