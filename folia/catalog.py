@@ -337,7 +337,9 @@ def image_ids(t):
 def numbering_left_join(t):
     items = t("customer").select("c_custkey", (F.col("c_custkey") % 30).cast("int").alias("num_id"), F.lit(0).alias("level"))
     nums = t("nation").select(F.col("n_nationkey").alias("num_id"), F.col("n_regionkey").alias("abstract_id"))
-    levels = t("orders").where("o_orderkey < 4").select(F.col("o_orderkey").cast("int").alias("abstract_id"), F.lit(0).alias("level"), (F.col("o_orderstatus") == "F").alias("numbered"))
+    # only what some list names can meet an item; the rest of the table would be shuffled for nothing
+    levels = t("orders").join(F.broadcast(nums.select(F.col("abstract_id").alias("o_orderkey")).distinct()), "o_orderkey", "left_semi")
+    levels = levels.select(F.col("o_orderkey").alias("abstract_id"), F.lit(0).alias("level"), (F.col("o_orderstatus") == "F").alias("numbered"))
     return joins.numbering(items, nums, levels, []).select("c_custkey", "num_id", "abstract_id", "numbered")
 
 
@@ -462,7 +464,7 @@ def line_grouping(t):
     "SELECT s.k, s.v, s.rn, CASE WHEN s.v - f.anchor <= 14 THEN f.anchor ELSE s.v END, CASE WHEN s.v - f.anchor <= 14 THEN f.cluster_no ELSE f.cluster_no + 1 END FROM f JOIN s ON s.k = f.k AND s.rn = f.rn + 1",
     "q", "v", "k")} SELECT k, cluster_no, round(avg(v), 6) AS center, count(*) AS n FROM f GROUP BY k, cluster_no""")
 def column_cluster(t):
-    q = t("lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v")).distinct()
+    q = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v")).distinct()
     return folds.cluster_by_anchor(q, ["k"], "v").withColumn("center", F.round("center", 6))
 
 
@@ -470,7 +472,7 @@ def column_cluster(t):
     "SELECT s.k, s.rn, CASE WHEN s.v - f.p > 4 THEN s.v ELSE (f.p + s.v) / 2 END, CASE WHEN s.v - f.p > 4 THEN f.pos_no + 1 ELSE f.pos_no END FROM f JOIN s ON s.k = f.k AND s.rn = f.rn + 1",
     "q", "v", "k")} SELECT k, pos_no, round(arg_max(p, rn), 6) AS pos FROM f GROUP BY k, pos_no""")
 def position_cluster(t):
-    q = t("events").where("event_id < 5000").select(F.col("user_id").alias("k"), (F.col("event_id") * 37 % 700).cast("double").alias("v"))
+    q = t("events").select(F.col("user_id").alias("k"), (F.col("event_id") * 37 % 700).cast("double").alias("v"))
     return folds.cluster_by_drift(q, ["k"], "v").withColumn("pos", F.round("pos", 6))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 #: Bounds in the catalogue's SQL, lifted here so that it gives the whole result.
-CUTS = (" WHERE event_id < 4000", " WHERE event_id < 6000", " WHERE doc_id < 2000", "doc_id < 300 AND ", " WHERE doc_id < 300")
+CUTS = (" WHERE event_id < 4000", " WHERE event_id < 6000", " WHERE doc_id < 2000", "doc_id < 300 AND ", " WHERE doc_id < 300", " WHERE l_orderkey < 3000", " WHERE event_id < 5000", " WHERE o_orderkey < 4")
 EVENTS = [*range(100), *range(3950, 4100), *range(5950, 6100), *range(99_000, 99_100)]
 
 
@@ -16,6 +16,10 @@ def tables(folder):
     rng.shuffle(documents)
     return {
         "events": ("event_id long, user_id long", [(k, rng.randrange(6)) for k in EVENTS]),
+        "lineitem": ("l_orderkey long, l_quantity double", [(k, float(rng.randrange(1, 51))) for k in (*range(9), *range(2990, 3010), 1 << 40) for _ in range(5)]),
+        "customer": ("c_custkey long", [(k,) for k in range(60)]),
+        "nation": ("n_nationkey int, n_regionkey int", [(k, k % 6) for k in range(25)]),
+        "orders": ("o_orderkey long, o_orderstatus string", [(k, "PF"[k % 2 == 0]) for k in (*range(10), 1 << 40)]),
         "documents": ("doc_id long, text string, lang string, source string", documents),
     }
 
@@ -73,3 +77,9 @@ def test_offsets_are_of_all_documents(spark, whole, coalesce):
 def test_texts_are_of_all_documents(whole, name):
     got, want = whole(name)
     assert got and got == want
+
+
+@pytest.mark.parametrize("name", ["column_cluster", "position_cluster", "numbering_left_join"])
+def test_clusters_and_numbering_are_of_all_rows(whole, name):
+    got, want = whole(name)
+    assert got and got == want
