@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -143,7 +144,6 @@ def fit(clean: list[str], toxic: list[str]) -> Model:
         return q > share and gain >= math.log(10 * len(found[1])) and n * (1 - share) >= 15 * (other + 0.5) * share
 
     marked = {f for f, n in found[1].items() if len(f) > 4 and telling(n, found[0][f])} if 0 < share < 1 else set()
-    groups[0] = groups[0][: max(500, len(groups[1]))]  # enough for the weights; the counts above are from all
     if not marked:
         return Model({"": -8.0}, np.zeros((2, 2)), (-4.0, 0.0, 0.0))
     known: dict[str, int] = {"": 0}
@@ -156,7 +156,9 @@ def fit(clean: list[str], toxic: list[str]) -> Model:
             cached[word] = ([0, *(known.setdefault(f, len(known)) for f in fs if counts[f] >= 3)], int(any(f in marked for f in fs[:3])))
         return cached[word]
 
-    rows, columns, gold, sizes = [], [], [], []
+    # a token's emission is its word's, so features are held once for each distinct word
+    numbers: dict[str, int] = {}
+    rows, columns, tokens, gold, sizes = [], [], array("i"), array("b"), []
     for kind, g in enumerate(groups):
         for words in g:
             if kind == TOXIC and not any(of(w)[1] for w in words):
@@ -166,33 +168,43 @@ def fit(clean: list[str], toxic: list[str]) -> Model:
                 sizes.append(len(part))
                 for w in part:
                     fs, y = of(w)
-                    rows.extend([len(gold)] * len(fs))
-                    columns.extend(fs)
+                    if w not in numbers:
+                        rows.extend([len(numbers)] * len(fs))
+                        columns.extend(fs)
+                        numbers[w] = len(numbers)
+                    tokens.append(numbers[w])
                     gold.append(y if kind == TOXIC else NONE)
-    rows, columns, gold, sizes = np.array(rows), np.array(columns), np.array(gold), np.array(sizes)
+    rows, columns, tokens, gold, sizes = np.array(rows), np.array(columns), np.array(tokens), np.array(gold), np.array(sizes)
+
+    def by_feature(values) -> np.ndarray:
+        return np.bincount(columns, np.bincount(tokens, values, len(numbers))[rows], len(known))
+
     last = np.cumsum(sizes) - 1
     inner = np.ones(len(gold), bool)
     inner[last] = False
     i = np.flatnonzero(inner)
     seen = np.bincount(gold[i] * 2 + gold[i + 1], minlength=4).reshape(2, 2)
-    target = np.bincount(columns, gold[rows], len(known))
+    target = by_feature(gold)
     w, t = np.zeros(len(known)), np.zeros((2, 2))
     w[0] = -3.0
     gw, gt = np.full(len(known), 1e-6), np.full((2, 2), 1e-6)
     for _ in range(ROUNDS):  # gradient ascent with a step of its own for each weight
-        p, pairs = _expected(np.bincount(rows, w[columns], len(gold)), sizes, t)
-        up, ut = target - np.bincount(columns, p[rows], len(known)) - 0.05 * w, (seen - pairs) - 0.05 * t
+        p, pairs = _expected(np.bincount(rows, w[columns], len(numbers))[tokens], sizes, t)
+        up, ut = target - by_feature(p) - 0.05 * w, (seen - pairs) - 0.05 * t
         gw += up**2
         gt += ut**2
         w += 0.7 * up / np.sqrt(gw)
         t += 0.3 * ut / np.sqrt(gt)
     model = Model({f: float(w[k]) for f, k in known.items() if abs(w[k]) > 1e-4}, t, (0.0, 1.0, 0.0))
     x, y = [], []
+    emission: dict[str, float] = {}
     for kind, g in enumerate(groups):
-        for words in g:
-            e = np.array([model.emission(v) for v in words])
-            x.append((1.0, *_summary(marginals(e, np.array([len(e)]), t))))
-            y.append(kind)
+        for k in range(0, len(g), 100):  # so many documents side by side
+            some = g[k : k + 100]
+            lengths = np.array([len(words) for words in some])
+            e = np.array([emission[v] if v in emission else emission.setdefault(v, model.emission(v)) for words in some for v in words])
+            x.extend((1.0, *_summary(p)) for p in np.split(marginals(e, lengths, t), np.cumsum(lengths)[:-1]))
+            y.extend([kind] * len(some))
     x, y = np.array(x), np.array(y, float)
     b = np.zeros(3)
     for _ in range(25):  # Newton's method with a small ridge

@@ -78,6 +78,15 @@ def test_copies_teach_nothing():
     assert model.emission("harmless") < 0 and model.emission("copied") < 0
 
 
+def test_all_of_the_sample_is_fitted():
+    """Beyond 500 clean texts too: neither the weights nor the curve depend on which come first."""
+    clean, toxic = planted(6, 1000)
+    clean = [*clean[:600], *(t + " gromnik" for t in clean[600:])]  # a clean word that begins nearly like a toxic one
+    one, other = crf.fit(clean, toxic), crf.fit(clean[::-1], toxic)
+    assert "=gromnik" in one.weights and "=gromnik" in other.weights
+    assert np.allclose(one.curve, other.curve, rtol=1e-3) and abs(one.weights["=gromnik"] - other.weights["=gromnik"]) < 1e-3
+
+
 def test_toxicity_hard(spark):
     from tests.llm.test_texts import empty, hard
 
