@@ -1,10 +1,9 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 Every notice (a base phrase or a template) posts the positions of its words. The corpus's document frequencies choose, for
-each notice, the word of its mandatory key phrase with the highest IDF. A file is looked up by these rare words alone; each
-occurrence gives the relative position at which the notice would start, the postings of several rare words fall together on
-that start, and the key phrase is then verified word by word. Every place of a key phrase holds its rare word, so no place
-is lost. Documents need no shuffle; only the counts of the notices' own words are aggregated.
+each notice, the RARE words of its mandatory key phrase with the highest IDF. A file is looked up by these rare words alone;
+each occurrence gives the relative position at which the notice would start. The starts that the postings of all its rare
+words have in common are then verified word by word. Every place of a key phrase holds its rare words, so no place is lost. Documents need no shuffle; only the counts of the notices' own words are aggregated.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
+#: Rare words of a key phrase whose postings are intersected, where it has as many.
+RARE = 2
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -93,16 +94,27 @@ def document_frequencies(worded: DataFrame, vocabulary: list[str]) -> tuple[int,
     return counts.get("", 0), counts
 
 
-def anchors(notices: list[Notice], n: int, counts: dict[str, int]) -> list[tuple[str, int]]:
-    """For each notice the word of its key phrase with the highest IDF (ties: the earlier), and its place in the notice."""
+def rare_words(notices: list[Notice], n: int, counts: dict[str, int]) -> list[list[tuple[str, int]]]:
+    """For each notice the distinct words of its key phrase with the highest IDF (ties: the earlier), rarest first, and their places in the notice."""
     out = []
     for x in notices:
         idf = [math.log((n + 1) / (counts.get(w, 0) + 1)) for w in x.key]
-        at = max(range(len(idf)), key=lambda i: (idf[i], -i))
-        out.append((x.key[at], x.start + at))
+        first = [i for i, w in enumerate(x.key) if w not in x.key[:i]]
+        out.append([(x.key[i], x.start + i) for i in sorted(first, key=lambda i: (-idf[i], i))[:RARE]])
     return out
 
 
+def anchors(notices: list[Notice], n: int, counts: dict[str, int]) -> list[tuple[str, int]]:
+    """For each notice the rarest word of its key phrase, and its place in the notice."""
+    return [x[0] for x in rare_words(notices, n, counts)]
+
+
+def _starts(rare: str, start: str, hits: str = "hits") -> str:
+    """SQL for the places of the key phrase on which the postings of all rare words (array of struct<w, at>) fall together, in order."""
+    posted = lambda r: f"transform(filter({hits}, h -> h.w = {r}.w), h -> h.i - {r}.at + {start})"
+    return f"aggregate(slice({rare}, 2, {RARE}), {posted(f'{rare}[0]')}, (s, r) -> array_intersect(s, {posted('r')}))"
+
+
 def scan_licenses(docs: DataFrame, text: str = "text", notices: list[Notice] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Finds the notices in every whole text.
 
@@ -114,23 +126,23 @@ def scan_licenses(docs: DataFrame, text: str = "text", notices: list[Notice] | N
     vocabulary = sorted({w for x in notices for w in x.key})
     worded = _once(docs.select(*keep, F.regexp_extract_all(lower_ascii(text), F.lit(f"({WORD})"), F.lit(1)).alias("words")), "words")
     n, counts = document_frequencies(worded, vocabulary)
-    rare = anchors(notices, n, counts)
-    looked_up = _array(sorted({w for w, _ in rare}))
+    rare = rare_words(notices, n, counts)
+    rarest, looked_up = (_array(sorted({w for ws in rare for w, _ in ws[:k]})) for k in (1, RARE))
     found = F.when(
-        F.arrays_overlap("words", looked_up),
+        F.arrays_overlap("words", rarest),
         F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(looked_up, x["w"])),
     )
     hits = _once(worded.select(*keep, "words", F.size("words").cast("long").alias("n_words"), F.coalesce(found, F.array().cast("array<struct<w:string,i:int>>")).alias("hits")), "hits")
 
-    # the index: for each notice its words, key phrase, rare word and that word's place, as one constant
+    # the index: for each notice its words, key phrase, rare words and their places, as one constant
     index = ", ".join(
-        f"named_struct('label', {_sql(x.label)}, 'base', {str(x.base).lower()}, 'words', {_sql(x.words)}, 'key', {_sql(x.key)}, 'start', {x.start}, 'rare', {_sql(word)}, 'at', {at})"
-        for x, (word, at) in zip(notices, rare, strict=True)
+        f"named_struct('label', {_sql(x.label)}, 'base', {str(x.base).lower()}, 'words', {_sql(x.words)}, 'key', {_sql(x.key)}, 'start', {x.start}, 'rare', array({', '.join(f"named_struct('w', {_sql(w)}, 'at', {at})" for w, at in ws)}))"
+        for x, ws in zip(notices, rare, strict=True)
     )
     found = F.expr(f"""flatten(transform(array({index}), n ->
         transform(
             filter(
-                transform(filter(hits, h -> h.w = n.rare), h -> h.i - n.at + n.start),
+                {_starts('n.rare', 'n.start')},
                 p -> p >= 0 AND slice(words, greatest(p + 1, 1), size(n.key)) = n.key),
             p -> named_struct('label', n.label, 'base', n.base, 'start', CAST(p AS BIGINT), 'score',
                 size(filter(n.words, (w, k) -> p - n.start + k >= 0 AND coalesce(get(words, p - n.start + k) = w, false))) / CAST(size(n.words) AS DOUBLE)))))""")
