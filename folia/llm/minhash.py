@@ -26,7 +26,6 @@ SHIFT = _random.integers(0, 1 << 32, SLOTS, np.uint32)
 PART = 1024  # shingles hashed at once
 #: Pairs in mixed buckets that are worth comparing at once, as a multiple of all entries of all buckets; beyond, another round of stars comes first.
 WORTH = 50
-SLACK = 2
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -132,6 +131,22 @@ class _Search:
         both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
         return both.where(100 * F.col("shared") >= self.percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
+    def possible(self, rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs of one bucket in different components that may meet the threshold, and few others.
+
+        The full sets ride along as 32-bit hashes, so that the join gives links only. Items of a set that share a hash hide one
+        another, so two sets share at most as many items more than hashes as the one lost that lost fewer; what hashes feign is
+        confirmed after.
+        """
+        small = sets.select("id", F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("small"))
+        small = small.withColumn("lost", F.size("small") - F.size(F.array_distinct("small")))
+        full = rows.select("key", "id", "component").join(nodes.select("id", "planes"), "id").join(small, "id")
+        one, two = (full.select("key", F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.col("planes").alias(f"p{c}"), F.col("small").alias(f"s{c}"), F.col("lost").alias(f"l{c}")) for c in "ab")
+        shared = F.size(F.array_intersect("sa", "sb")) + F.least("la", "lb")
+        near = 100 * shared >= self.percent * (F.size("sa") + F.size("sb") - shared)
+        likely = F.when(disagreeing(F.col("pa"), F.col("pb")) <= most_disagreeing(self.percent), near).otherwise(F.lit(False))
+        return one.join(two, "key").where("ca < cb").where(likely)
+
     def run(self) -> DataFrame:
         sigs = self.keep(signatures(self.docs, self.text, self.id_col, self.shingle), "sig")
         full = sigs.where("n > 0 AND id IS NOT NULL")
@@ -173,15 +188,8 @@ class _Search:
             pairs = rows.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
             if not grew or pairs <= WORTH * BANDS * n_nodes:
                 break
-        # the rest in full: members of one bucket in different components. The full sets ride along as 32-bit hashes, so that the
-        # join gives links only; what two hashes in one can hide is made up for by SLACK, and what they feign is confirmed after
-        small = sets.select("id", F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("small"))
-        full = rows.select("key", "id", "component").join(nodes.select("id", "planes"), "id").join(small, "id")
-        one, two = (full.select("key", F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.col("planes").alias(f"p{c}"), F.col("small").alias(f"s{c}")) for c in "ab")
-        shared = F.size(F.array_intersect("sa", "sb")) + SLACK
-        near = 100 * shared >= self.percent * (F.size("sa") + F.size("sb") - shared)
-        likely = F.when(disagreeing(F.col("pa"), F.col("pb")) <= most_disagreeing(self.percent), near).otherwise(F.lit(False))
-        rest = one.join(two, "key").where("ca < cb").where(likely)
+        # the rest in full: members of one bucket in different components
+        rest = self.possible(rows, nodes, sets)
         rest = self.keep(self.confirmed(rest.select("a", "b").distinct(), sets), "links")
         if not rest.isEmpty():
             links = rest if links is None else links.union(rest)

@@ -152,6 +152,22 @@ def test_minhash_chains_and_families(spark):
     assert got == brute_components(texts, 2)
 
 
+def test_minhash_collisions_hide_no_link(spark):
+    """Pairs at the threshold and below whose items share their upper halves by fours: fewer hashes than items in common."""
+    item = lambda group, low: (group << 32) + low
+    common = [item(g, k) for g in range(20) for k in range(4)]  # 80 items, 20 hashes
+    own = {i: [item(100 * i + k, 0) for k in range(20)] for i in (1, 2, 3)}
+    sets = {1: common, 2: common + own[2], 3: common[:72] + own[3]}  # similarities: 80 / 100 and below
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rows = frame([(7, i, i) for i in sets], "key long, id long, component long")
+    nodes = frame([(i, [0] * 8) for i in sets], "id long, planes array<long>")
+    items = frame(list(sets.items()), "id long, items array<long>")
+    search = minhash._Search(None, "text", "doc_id", 2, 80)
+    possible = search.possible(rows, nodes, items).select("a", "b")
+    assert (1, 2) in {tuple(r) for r in possible.collect()}
+    assert [tuple(r) for r in search.confirmed(possible, items).collect()] == [(1, 2)]
+
+
 def test_minhash_hard(spark):
     rows = minhash.near_duplicates(hard(spark), shingle=2).collect()
     assert len(rows) == hard(spark).count()
