@@ -2,9 +2,10 @@
 
 Signatures keep the low bits of the minima, packed as bit planes. Bands of whole minima find candidates; bit counts of the
 planes give a similarity corrected for chance agreement, which drops hopeless candidates; the rest are confirmed on the full
-shingle sets. Documents with equal sets are one node. In a band's bucket every member is first held against one leader
-only, so a family of any size costs a star, not all pairs; what then still lies in one bucket but in several components is
-held against each other in full, so no link is lost to the stars.
+shingle sets. Documents with equal sets are one node. In rounds, every member of a band's bucket is held against one leader
+only, another one each round, so a family of any size costs stars, not all pairs; buckets whose members are all linked
+drop out. When a round links nothing more, each bucket's members outside its largest component are held against all
+members of other components, so no link is lost to the stars.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ _random = np.random.default_rng(7)
 FACTOR = _random.integers(0, 1 << 32, SLOTS, np.uint32) | np.uint32(1)
 SHIFT = _random.integers(0, 1 << 32, SLOTS, np.uint32)
 PART = 1024  # shingles hashed at once
-#: Pairs in mixed buckets that are worth comparing at once, as a multiple of all entries of all buckets; beyond, another round of stars comes first.
-WORTH = 50
+#: Rounds of stars at most, at every size; what they leave open is compared in full.
+ROUNDS = 12
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -55,7 +56,7 @@ def signatures(docs: DataFrame, text: str, id_col: str, shingle: int) -> DataFra
             for i, s in enumerate(shingle_sets(data, ends, shingle)):
                 if len(s):
                     n[i], least[i] = len(s), minima(s)
-                    sums[i] = s.sum(dtype=U), mix(s ^ PLACE[-1]).sum(dtype=U)
+                    sums[i] = fingerprint(s)
             bands = mix((least[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(U) * PLACE[:ROWS]).sum(2, dtype=U) + np.arange(BANDS, dtype=U) * PLACE[-2]).view(np.int64)
             full = n > 0
             offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
@@ -69,18 +70,26 @@ def signatures(docs: DataFrame, text: str, id_col: str, shingle: int) -> DataFra
     )
 
 
+def fingerprint(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two sums over a set that tell sets apart."""
+    return s.sum(dtype=U), mix(s ^ PLACE[-1]).sum(dtype=U)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, id_col: str, shingle: int) -> DataFrame:
-    """The full sets (id, items) of the wanted ids, from their whole texts."""
+    """The full sets (id, items) of the wanted ids, from their whole texts; of rows that share an id, the set that comes first by size and fingerprint."""
 
     def run(batches):
         for b in batches:
             sets = list(shingle_sets(*utf8(b.column("text")), shingle))
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            sums = np.array([fingerprint(s) for s in sets], U).reshape(-1, 2).view(np.int64)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             items = pa.array(np.concatenate([np.zeros(0, U), *sets]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["id", "n", "fp0", "fp1", "items"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    return texts.mapInArrow(run, "id long, items array<long>").dropDuplicates(["id"])
+    found = texts.mapInArrow(run, "id long, n long, fp0 long, fp1 long, items array<long>").where("n > 0")
+    return found.groupBy("id").agg(F.min_by("items", F.struct("n", "fp0", "fp1")).alias("items"))
 
 
 def disagreeing(p: Column, q: Column) -> Column:
@@ -131,39 +140,59 @@ class _Search:
         both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
         return both.where(100 * F.col("shared") >= self.percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
-    def possible(self, rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs of one bucket in different components that may meet the threshold, and few others.
+    def rest(self, rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) between different components of one bucket, each pair held against each other in the first bucket it shares.
 
-        The full sets ride along as 32-bit hashes, so that the join gives links only. Items of a set that share a hash hide one
-        another, so two sets share at most as many items more than hashes as the one lost that lost fewer; what hashes feign is
-        confirmed after.
+        Two components of a bucket can't both be its largest, so one side is the members outside that one. The full sets ride
+        along as 32-bit hashes, so that the join gives links only. Items of a set that share a hash hide one another, so two sets
+        share at most as many items more than hashes as the one lost that lost fewer; what hashes feign is confirmed after.
         """
         small = sets.select("id", F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("small"))
         small = small.withColumn("lost", F.size("small") - F.size(F.array_distinct("small")))
-        full = rows.select("key", "id", "component").join(nodes.select("id", "planes"), "id").join(small, "id")
-        one, two = (full.select("key", F.col("id").alias(c), F.col("component").alias(f"c{c}"), F.col("planes").alias(f"p{c}"), F.col("small").alias(f"s{c}"), F.col("lost").alias(f"l{c}")) for c in "ab")
-        shared = F.size(F.array_intersect("sa", "sb")) + F.least("la", "lb")
-        near = 100 * shared >= self.percent * (F.size("sa") + F.size("sb") - shared)
-        likely = F.when(disagreeing(F.col("pa"), F.col("pb")) <= most_disagreeing(self.percent), near).otherwise(F.lit(False))
-        return one.join(two, "key").where("ca < cb").where(likely)
+        counts = rows.groupBy("key", "component").count()
+        largest = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+        full = rows.select("key", "id", "band", "component").join(nodes, "id").join(small, "id").join(largest, "key")
+        full = self.keep(full.select("key", "id", "band", "component", "largest", "planes", "bands", "small", "lost"), "rest")
+        one = full.select("key", "band", "largest", *[F.col(c).alias(f"{c}a") for c in ("id", "component", "planes", "bands", "small", "lost")])
+        two = full.where("component <> largest").select("key", *[F.col(c).alias(f"{c}b") for c in ("id", "component", "planes", "bands", "small", "lost")])
+        met = F.arrays_overlap(F.slice("bandsa", F.lit(1), F.col("band")), F.slice("bandsb", F.lit(1), F.col("band")))
+        shared = F.size(F.array_intersect("smalla", "smallb")) + F.least("losta", "lostb")
+        near = 100 * shared >= self.percent * (F.size("smalla") + F.size("smallb") - shared)
+        apart = (F.col("componenta") < F.col("componentb")) | (F.col("componenta") == F.col("largest"))
+        possible = disagreeing(F.col("planesa"), F.col("planesb")) <= most_disagreeing(self.percent)
+        found = one.join(two, "key").where("componenta <> componentb").where(F.when(apart & possible, F.when(met, F.lit(False)).otherwise(near)).otherwise(F.lit(False)))
+        return found.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
+
+    def labelled(self, labels: DataFrame | None, found: DataFrame) -> DataFrame:
+        """Components (node, component) of all links so far, from those before and the new links alone."""
+        if labels is None:
+            return self.keep(components(found), "labels")
+        for c in "ab":
+            of = labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+            found = found.join(of, c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+        step = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        moved = labels.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        # the least of a component, like a document without links, isn't listed before it moves
+        alone = step.join(labels.select("node"), "node", "left_anti").select("node", "component")
+        return self.keep(moved.unionByName(alone), "labels")
 
     def run(self) -> DataFrame:
         sigs = self.keep(signatures(self.docs, self.text, self.id_col, self.shingle), "sig")
         full = sigs.where("n > 0 AND id IS NOT NULL")
-        least = self.keep(full.groupBy("fp0", "fp1", "n").agg(F.min("id").alias("rep")), "rep")
-        classed = self.keep(full.select("id", "n", "fp0", "fp1").join(least, ["fp0", "fp1", "n"]).select("id", "rep"), "class")
-        nodes = full.join(classed.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        chosen = full.groupBy("id").agg(F.min(F.struct("n", "fp0", "fp1")).alias("x")).select("id", "x.*")
+        least = self.keep(chosen.groupBy("fp0", "fp1", "n").agg(F.min("id").alias("rep")), "rep")
+        classed = self.keep(chosen.join(least, ["fp0", "fp1", "n"]).select("id", "rep", "n", "fp0", "fp1"), "class")
+        nodes = full.join(classed.where("id = rep").select("id", "n", "fp0", "fp1"), ["id", "n", "fp0", "fp1"], "left_semi").dropDuplicates(["id"])
         nodes = self.keep(nodes.select("id", "planes", "bands"), "nodes")
-        n_nodes = nodes.count()
         # a leader for each bucket of two or more, another one in each, since the key turns the order of the ids over
-        rows = nodes.select(F.explode("bands").alias("key"), "id")
+        rows = nodes.select(F.posexplode("bands").alias("band", "key"), "id")
         leaders = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("x")).where("c > 1")
         leaders = self.keep(leaders.select("key", F.col("x").bitwiseXOR(F.col("key")).alias("leader")), "leaders")
         rows = self.keep(rows.join(leaders, "key"), "rows")
         sets = self.keep(sets_of(self.docs, rows.select("id").distinct(), self.text, self.id_col, self.shingle), "sets")
-        links, labels, salt = None, None, 0
-        while True:
-            stars = rows if labels is None else rows.where("component <> lead_component")
+        labels = None
+        for salt in range(1, ROUNDS + 1):
+            stars = rows if salt == 1 else rows.where("component <> lead_component")
             stars = stars.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), "id").distinct()
             # one confirmation a round for each document: its likeliest leader
             likely = self.candidates(stars.select("a", "b").distinct(), nodes)
@@ -171,30 +200,25 @@ class _Search:
             found = self.keep(self.confirmed(best, sets), "links")
             grew = not found.isEmpty()
             if grew:
-                links = found if links is None else links.union(found)
-                labels = self.keep(components(links), "labels")
+                labels = self.labelled(labels, found)
             if labels is None:
                 open_rows = rows.withColumn("component", F.col("id"))
             else:
                 label = labels.select(F.col("node").alias("id"), "component")
-                open_rows = rows.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            salt += 1
+                open_rows = rows.select("key", "id", "band").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             turn = F.col("key").bitwiseXOR(F.xxhash64("key", F.lit(salt)))
             mixed = open_rows.groupBy("key").agg(
                 F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.col("id").bitwiseXOR(turn).alias("x"), "component")).alias("m")
             ).where("low < high")
             mixed = self.keep(mixed.select("key", F.col("m.x").bitwiseXOR(turn).alias("leader"), F.col("m.component").alias("lead_component")), "mixed")
-            rows = self.keep(open_rows.select("key", "id", "component").join(mixed, "key"), "rows")
-            pairs = rows.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
-            if not grew or pairs <= WORTH * BANDS * n_nodes:
+            rows = self.keep(open_rows.select("key", "id", "band", "component").join(mixed, "key"), "rows")
+            if not grew or rows.isEmpty():
                 break
         # the rest in full: members of one bucket in different components
-        rest = self.possible(rows, nodes, sets)
-        rest = self.keep(self.confirmed(rest.select("a", "b").distinct(), sets), "links")
+        rest = self.keep(self.confirmed(self.rest(rows, nodes, sets).distinct(), sets), "links")
         if not rest.isEmpty():
-            links = rest if links is None else links.union(rest)
-            labels = self.keep(components(links), "labels")
-        out = sigs.select("id", "n").join(classed.dropDuplicates(["id"]), "id", "left")
+            labels = self.labelled(labels, rest)
+        out = sigs.select("id", "n").join(classed.select("id", "rep"), "id", "left")
         if labels is not None:
             out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         else:
@@ -210,7 +234,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     Returns doc_id, n_shingles (set size), component_id (least id reachable by links, itself included), kept (whether it is
     that id). Null and empty texts have empty sets and no links; a text of fewer words is one shingle of all of them. Rows
-    without an id are returned unlinked and kept; rows that share an id count as one document. No row is dropped.
+    without an id are returned unlinked and kept; rows that share an id count as one document, whose set is the one of their
+    sets that comes first by size and fingerprint (n_shingles is each row's own). No row is dropped.
     """
     out = _Search(docs, text, id_col, shingle, percent).run()
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

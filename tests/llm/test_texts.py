@@ -159,15 +159,51 @@ def test_minhash_collisions_hide_no_link(spark):
     own = {i: [item(100 * i + k, 0) for k in range(20)] for i in (1, 2, 3)}
     sets = {1: common, 2: common + own[2], 3: common[:72] + own[3]}  # similarities: 80 / 100 and below
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
-    rows = frame([(7, i, i) for i in sets], "key long, id long, component long")
-    nodes = frame([(i, [0] * 8) for i in sets], "id long, planes array<long>")
+    rows = frame([(7, i, 0, i) for i in sets], "key long, id long, band int, component long")
+    nodes = frame([(i, [0] * 8, [7]) for i in sets], "id long, planes array<long>, bands array<long>")
     items = frame(list(sets.items()), "id long, items array<long>")
     search = minhash._Search(None, "text", "doc_id", 2, 80)
-    possible = search.possible(rows, nodes, items).select("a", "b")
+    possible = search.rest(rows, nodes, items)
     assert (1, 2) in {tuple(r) for r in possible.collect()}
     assert [tuple(r) for r in search.confirmed(possible, items).collect()] == [(1, 2)]
 
 
+def test_minhash_large_family(spark):
+    """Two thousand copies around one text, of which hardly half are linked directly; few pairs may leave the last join."""
+    rng, words = random.Random(5), [f"w{i}" for i in range(4000)]
+    base, texts = rng.sample(words, 120), {}
+    for i in range(2000):
+        copy = list(base)
+        for j in rng.sample(range(120), rng.choice([2, 4, 6, 8, 10])):
+            copy[j] = rng.choice(words)
+        texts[i] = " ".join(copy)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=2).collect()}
+    assert got == brute_components(texts, 2)
+
+
+def test_minhash_very_long_sets(spark):
+    """Sets of over 300,000 shingles: one pair exactly at the threshold, one a shingle below."""
+    whole = [f"a{i} b" for i in range(200_000)]  # 400,000 words, 399,999 shingles
+    n = 2 * len(whole) - 1
+    cut = next(k for k in range(n, 0, -1) if 100 * k >= 80 * n and 100 * (k - 1) < 80 * n)
+    words = " ".join(whole).split()
+    texts = {1: " ".join(words), 2: " ".join(words[: cut + 1]), 3: " ".join(words[: cut]).replace("a", "c"), 4: " ".join(words).replace("a", "c")}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=2).collect()}
+    assert got == {1: (n, 1), 2: (cut, 1), 3: (cut - 1, 3), 4: (n, 4)}
+
+
+def test_minhash_repeated_ids(spark):
+    """Rows that share an id are one document, read from the same row in whatever order they come."""
+    rows = [(5, "one two three four five six"), (5, "a b c"), (6, "a b c"), (7, "one two three four five six"), (5, None)]
+    want = None
+    for turn in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(turn, "doc_id long, text string"), shingle=2).collect())
+        want = want or got
+        assert got == want == [(5, 0, 5), (5, 2, 5), (5, 5, 5), (6, 2, 5), (7, 5, 7)]
+
+
 def test_minhash_hard(spark):
     rows = minhash.near_duplicates(hard(spark), shingle=2).collect()
     assert len(rows) == hard(spark).count()
