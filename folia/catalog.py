@@ -80,22 +80,22 @@ def titled_pages(t) -> DataFrame:
     return lines.select("source", "page_no", "line_no", "text", (F.col("line_no") * 14 + 20).cast("double").alias("top"), (F.col("line_no") * 14 + 30).cast("double").alias("bottom"), F.lit(842.0).alias("page_height"))
 
 
-#: Boxes from events: a user is a page.
+#: Boxes from events, forty a page at most.
 BOXES_SQL = """
-    boxes AS (SELECT user_id % 40 AS page, event_id AS no, CAST((event_id * 37) % 700 AS DOUBLE) AS "left", CAST((event_id * 53) % 800 AS DOUBLE) AS top,
-              CAST((event_id * 11) % 90 + 5 AS DOUBLE) AS width, CAST((event_id * 7) % 20 + 8 AS DOUBLE) AS height FROM events WHERE event_id < 4000)"""
+    boxes AS (SELECT event_id // 40 AS page, event_id AS no, CAST((event_id * 37) % 700 AS DOUBLE) AS "left", CAST((event_id * 53) % 800 AS DOUBLE) AS top,
+              CAST((event_id * 11) % 90 + 5 AS DOUBLE) AS width, CAST((event_id * 7) % 20 + 8 AS DOUBLE) AS height FROM events)"""
 
 
 def boxes(t) -> DataFrame:
     e = t("events")
     num = lambda k, m, a=0: ((F.col("event_id") * k) % m + a).cast("double")
-    return e.select((F.col("user_id") % 40).alias("page"), F.col("event_id").alias("no"), num(37, 700).alias("left"), num(53, 800).alias("top"), num(11, 90, 5).alias("width"), num(7, 20, 8).alias("height"))
+    return e.select(F.expr("event_id DIV 40").alias("page"), F.col("event_id").alias("no"), num(37, 700).alias("left"), num(53, 800).alias("top"), num(11, 90, 5).alias("width"), num(7, 20, 8).alias("height"))
 
 
 #: Segments from events, thirty a page at most.
 SEGMENTS_SQL = """
     segs AS (SELECT event_id // 30 AS page, event_id AS seg_no, event_id % 2 = 0 AS horizontal, CAST((event_id * 37) % 100 AS DOUBLE) AS pos,
-             CAST((event_id * 13) % 80 AS DOUBLE) AS a, CAST((event_id * 13) % 80 + 5 + (event_id * 7) % 25 AS DOUBLE) AS b FROM events WHERE event_id < 6000)"""
+             CAST((event_id * 13) % 80 AS DOUBLE) AS a, CAST((event_id * 13) % 80 + 5 + (event_id * 7) % 25 AS DOUBLE) AS b FROM events)"""
 
 
 def segments(t) -> DataFrame:
@@ -283,7 +283,7 @@ def vmerge_origin(t):
     return windows.merge_origins(e, ["user_id"], "col", "event_id", "continues").select("event_id", "origin")
 
 
-@query("SELECT doc_id, CAST(coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id < 2000)")
+@query("SELECT doc_id, CAST(coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def prefix_offsets(t):
     d = t("documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
     return windows.starts_overall(d, ["doc_id"], "size").select("doc_id", "start")
@@ -333,7 +333,7 @@ def image_ids(t):
 # ---------------------------------------------------------------- joins and sets
 
 
-@query("SELECT c_custkey, CAST(c_custkey % 30 AS INT) AS num_id, n_regionkey AS abstract_id, coalesce(o_orderstatus = 'F', false) AS numbered FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 30 LEFT JOIN (SELECT * FROM orders WHERE o_orderkey < 4) ON o_orderkey = n_regionkey")
+@query("SELECT c_custkey, CAST(c_custkey % 30 AS INT) AS num_id, n_regionkey AS abstract_id, coalesce(o_orderstatus = 'F', false) AS numbered FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 30 LEFT JOIN orders ON o_orderkey = n_regionkey")
 def numbering_left_join(t):
     items = t("customer").select("c_custkey", (F.col("c_custkey") % 30).cast("int").alias("num_id"), F.lit(0).alias("level"))
     nums = t("nation").select(F.col("n_nationkey").alias("num_id"), F.col("n_regionkey").alias("abstract_id"))
@@ -351,12 +351,12 @@ def nearest_column(t):
     return joins.nearest(points, anchors, [], "pos", "x", "idx")
 
 
-@query(f"""WITH {BOXES_SQL}, p AS (SELECT page, no, "left" + width / 2 AS x, top + height / 2 AS y FROM boxes WHERE no % 2 = 0), b AS (SELECT page, no AS box_no, "left" AS l, "left" + width AS r, top AS t, top + height AS b FROM boxes WHERE no % 2 = 1)
+@query(f"""WITH {BOXES_SQL}, p AS (SELECT page, no, "left" + width / 2 AS x, top + height / 2 AS y FROM boxes WHERE no % 2 = 0), b AS (SELECT page, no AS box_no, "left" AS l, "left" + width * 4 AS r, top AS t, top + height * 6 AS b FROM boxes WHERE no % 2 = 1)
     SELECT page, no, min(box_no) AS box_no FROM p JOIN b USING (page) WHERE x >= l - 2 AND x <= r + 2 AND y >= t - 2 AND y <= b + 2 GROUP BY page, no""")
 def point_in_box(t):
     b = boxes(t)
     points = b.where("no % 2 = 0").select("page", "no", (F.col("left") + F.col("width") / 2).alias("x"), (F.col("top") + F.col("height") / 2).alias("y"))
-    rects = b.where("no % 2 = 1").select("page", F.col("no").alias("box_no"), "left", (F.col("left") + F.col("width")).alias("right"), "top", (F.col("top") + F.col("height")).alias("bottom"))
+    rects = b.where("no % 2 = 1").select("page", F.col("no").alias("box_no"), "left", (F.col("left") + F.col("width") * 4).alias("right"), "top", (F.col("top") + F.col("height") * 6).alias("bottom"))
     return joins.point_in_box(points, rects, ["page"], "x", "y", ["box_no"], key=["page", "no"]).select("page", "no", "box_no")
 
 
@@ -430,7 +430,7 @@ def cross_stamp(t):
     return joins.stamp(pages, t("region").select(F.col("r_regionkey").alias("doc"), F.col("r_name").alias("text")), ["doc"])
 
 
-@query("""SELECT doc_id, round(sum(coalesce(CASE WHEN c BETWEEN 'a' AND 'z' THEN 0.4::DOUBLE + (ascii(c) % 7) * 0.05::DOUBLE END, 0.5::DOUBLE) * 11.0::DOUBLE), 4) AS width FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE doc_id < 300 AND text <> '') GROUP BY doc_id""")
+@query("""SELECT doc_id, round(sum(coalesce(CASE WHEN c BETWEEN 'a' AND 'z' THEN 0.4::DOUBLE + (ascii(c) % 7) * 0.05::DOUBLE END, 0.5::DOUBLE) * 11.0::DOUBLE), 4) AS width FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> '') GROUP BY doc_id""")
 def glyph_advance_sum(t):
     texts = t("documents").select("doc_id", "text", F.lit(11.0).alias("size"))
     letters = [chr(c) for c in range(97, 123)]
@@ -460,7 +460,7 @@ def line_grouping(t):
     return folds.anchored_lines(boxes(t), ["page"], "no")
 
 
-@query(f"""WITH RECURSIVE q AS (SELECT DISTINCT l_orderkey AS k, l_quantity AS v FROM lineitem WHERE l_orderkey < 3000), {_fold_sql("SELECT k, v, rn, v AS anchor, 0 AS cluster_no FROM s WHERE rn = 1",
+@query(f"""WITH RECURSIVE q AS (SELECT DISTINCT l_orderkey AS k, l_quantity AS v FROM lineitem), {_fold_sql("SELECT k, v, rn, v AS anchor, 0 AS cluster_no FROM s WHERE rn = 1",
     "SELECT s.k, s.v, s.rn, CASE WHEN s.v - f.anchor <= 14 THEN f.anchor ELSE s.v END, CASE WHEN s.v - f.anchor <= 14 THEN f.cluster_no ELSE f.cluster_no + 1 END FROM f JOIN s ON s.k = f.k AND s.rn = f.rn + 1",
     "q", "v", "k")} SELECT k, cluster_no, round(avg(v), 6) AS center, count(*) AS n FROM f GROUP BY k, cluster_no""")
 def column_cluster(t):
@@ -468,7 +468,7 @@ def column_cluster(t):
     return folds.cluster_by_anchor(q, ["k"], "v").withColumn("center", F.round("center", 6))
 
 
-@query(f"""WITH RECURSIVE q AS (SELECT user_id AS k, CAST((event_id * 37) % 700 AS DOUBLE) AS v FROM events WHERE event_id < 5000), {_fold_sql("SELECT k, rn, v AS p, 0 AS pos_no FROM s WHERE rn = 1",
+@query(f"""WITH RECURSIVE q AS (SELECT user_id AS k, CAST((event_id * 37) % 700 AS DOUBLE) AS v FROM events), {_fold_sql("SELECT k, rn, v AS p, 0 AS pos_no FROM s WHERE rn = 1",
     "SELECT s.k, s.rn, CASE WHEN s.v - f.p > 4 THEN s.v ELSE (f.p + s.v) / 2 END, CASE WHEN s.v - f.p > 4 THEN f.pos_no + 1 ELSE f.pos_no END FROM f JOIN s ON s.k = f.k AND s.rn = f.rn + 1",
     "q", "v", "k")} SELECT k, pos_no, round(arg_max(p, rn), 6) AS pos FROM f GROUP BY k, pos_no""")
 def position_cluster(t):
@@ -598,7 +598,7 @@ def html_counts(t):
     return t("pages").select("page_id", count("p").alias("paragraphs"), count("li").alias("items"), count("b").alias("bolds"))
 
 
-@query(f"""WITH RECURSIVE {LINES_SQL}, a AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN line || '-' ELSE line END AS line FROM l1 WHERE doc_id < 300),
+@query(f"""WITH RECURSIVE {LINES_SQL}, a AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN line || '-' ELSE line END AS line FROM l1),
     f AS (SELECT doc_id, line_no, line AS s FROM a WHERE line_no = 0 UNION ALL SELECT a.doc_id, a.line_no, CASE WHEN f.s = '' THEN a.line WHEN strlen(f.s) > 1 AND f.s LIKE '%-' THEN f.s || a.line ELSE f.s || ' ' || a.line END FROM f JOIN a ON a.doc_id = f.doc_id AND a.line_no = f.line_no + 1)
     SELECT doc_id, md5(arg_max(s, line_no)) AS joined FROM f GROUP BY doc_id""")
 def join_lines(t):
