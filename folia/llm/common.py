@@ -38,9 +38,28 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """As materialize(), as a table in buckets of a key's hash, so that joins on the key shuffle only what meets it."""
+    spark = df.sparkSession
+    path = shared_dir(spark, tag)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.bucket_table = name
+    return out
+
+
 def drop_table(df: DataFrame) -> None:
-    """Removes the files of a frame made by materialize()."""
+    """Removes the files of a frame made by materialize() or bucketed()."""
     spark = df.sparkSession
+    name = getattr(df, "bucket_table", None)
+    if name:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        spark.sql(f"DROP TABLE {name}")
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

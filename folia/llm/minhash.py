@@ -4,8 +4,8 @@ Signatures keep the low bits of the minima, packed as bit planes. Bands of whole
 planes give a similarity corrected for chance agreement, which drops hopeless candidates; the rest are confirmed on the full
 shingle sets. Documents with equal sets are one node. In rounds, every member of a band's bucket is held against one leader
 only, another one each round, so a family of any size costs stars, not all pairs; buckets whose members are all linked
-drop out. When a round links nothing more, each bucket's members outside its largest component are held against all
-members of other components, so no link is lost to the stars.
+drop out. After the rounds each bucket's members outside its largest component are held against all members of other
+components, so no link is lost to the stars.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, session, utf8
+from .common import bucketed, drop_table, materialize, session, utf8
 from .graph import components
 from .shingles import PLACE, U, mix, shingle_sets
 
@@ -25,8 +25,9 @@ _random = np.random.default_rng(7)
 FACTOR = _random.integers(0, 1 << 32, SLOTS, np.uint32) | np.uint32(1)
 SHIFT = _random.integers(0, 1 << 32, SLOTS, np.uint32)
 PART = 1024  # shingles hashed at once
+MAP_BITS = 11  # bits of a hash that name its place in a set's bit map
 #: Rounds of stars at most, at every size; what they leave open is compared in full.
-ROUNDS = 12
+ROUNDS = 3
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -76,7 +77,7 @@ def fingerprint(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, id_col: str, shingle: int) -> DataFrame:
-    """The full sets (id, items) of the wanted ids, from their whole texts; of rows that share an id, the set that comes first by size and fingerprint."""
+    """The full sets (id, items, and a bit map of them) of the wanted ids, from their whole texts; of rows that share an id, the set that comes first by size and fingerprint."""
 
     def run(batches):
         for b in batches:
@@ -85,11 +86,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, id_col: str, shingle:
             sizes = np.array([len(s) for s in sets], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             items = pa.array(np.concatenate([np.zeros(0, U), *sets]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["id", "n", "fp0", "fp1", "items"])
+            maps = np.zeros((len(sets), 1 << MAP_BITS), np.uint8)
+            for i, s in enumerate(sets):
+                maps[i, s >> U(64 - MAP_BITS)] = 1
+            maps = np.packbits(maps, axis=1).view(np.int64)
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * maps.shape[1]), pa.array(maps.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), items), maps], names=["id", "n", "fp0", "fp1", "items", "map"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    found = texts.mapInArrow(run, "id long, n long, fp0 long, fp1 long, items array<long>").where("n > 0")
-    return found.groupBy("id").agg(F.min_by("items", F.struct("n", "fp0", "fp1")).alias("items"))
+    found = texts.mapInArrow(run, "id long, n long, fp0 long, fp1 long, items array<long>, map array<long>").where("n > 0")
+    return found.groupBy("id").agg(F.min(F.struct("n", "fp0", "fp1", "items", "map")).alias("x")).select("id", "x.items", "x.map")
 
 
 def disagreeing(p: Column, q: Column) -> Column:
@@ -105,6 +111,12 @@ def disagreeing(p: Column, q: Column) -> Column:
     return out
 
 
+def most_shared(map_a: Column, map_b: Column, n_a: Column, n_b: Column) -> Column:
+    """The most items that two sets can share: a bit that only one map has stands for an item at least that only its set has. n: items less ones of the map."""
+    both = F.aggregate(F.zip_with(map_a, map_b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    return F.least(n_a, n_b) + both
+
+
 def most_disagreeing(percent: int) -> int:
     """Slots that may differ: of two sets at this similarity, corrected for chance agreement of BITS bits, seven standard deviations more."""
     agree = percent / 100 + (1 - percent / 100) / 2**BITS
@@ -128,11 +140,15 @@ class _Search:
         self.made.append(out := materialize(df, f"minhash-{tag}"))
         return out
 
+    def by_id(self, df: DataFrame, tag: str) -> DataFrame:
+        self.made.append(out := bucketed(df, f"minhash-{tag}", "id"))
+        return out
+
     def candidates(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs (a, b) that the packed signatures leave possible, with the slots that differ."""
+        """Pairs (a, b, ...) that the packed signatures leave possible, with the slots that differ."""
         sides = [nodes.select(F.col("id").alias(c), F.col("planes").alias(f"p{c}")) for c in "ab"]
         both = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("differ", disagreeing(F.col("pa"), F.col("pb")))
-        return both.where(F.col("differ") <= most_disagreeing(self.percent)).select("a", "b", "differ")
+        return both.where(F.col("differ") <= most_disagreeing(self.percent)).select(*pairs.columns, "differ")
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs that meet the threshold on their full sets."""
@@ -141,27 +157,34 @@ class _Search:
         return both.where(100 * F.col("shared") >= self.percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
     def rest(self, rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links (a, b) between different components of one bucket, each pair held against each other in the first bucket it shares.
+        """Links (a, b) between different components of one bucket, on the full sets, each pair compared in the first bucket it shares.
 
-        Two components of a bucket can't both be its largest, so one side is the members outside that one. The full sets ride
-        along as 32-bit hashes, so that the join gives links only. Items of a set that share a hash hide one another, so two sets
-        share at most as many items more than hashes as the one lost that lost fewer; what hashes feign is confirmed after.
+        A member outside its bucket's largest component is linked to that component if any of its members is near: one row, however
+        many are. Only members outside of it are held against each other pair by pair. Rows whose signature leaves no other
+        component of their bucket possible go before sets are joined.
         """
-        small = sets.select("id", F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("small"))
-        small = small.withColumn("lost", F.size("small") - F.size(F.array_distinct("small")))
         counts = rows.groupBy("key", "component").count()
         largest = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        full = rows.select("key", "id", "band", "component").join(nodes, "id").join(small, "id").join(largest, "key")
-        full = self.keep(full.select("key", "id", "band", "component", "largest", "planes", "bands", "small", "lost"), "rest")
-        one = full.select("key", "band", "largest", *[F.col(c).alias(f"{c}a") for c in ("id", "component", "planes", "bands", "small", "lost")])
-        two = full.where("component <> largest").select("key", *[F.col(c).alias(f"{c}b") for c in ("id", "component", "planes", "bands", "small", "lost")])
-        met = F.arrays_overlap(F.slice("bandsa", F.lit(1), F.col("band")), F.slice("bandsb", F.lit(1), F.col("band")))
-        shared = F.size(F.array_intersect("smalla", "smallb")) + F.least("losta", "lostb")
-        near = 100 * shared >= self.percent * (F.size("smalla") + F.size("smallb") - shared)
-        apart = (F.col("componenta") < F.col("componentb")) | (F.col("componenta") == F.col("largest"))
-        possible = disagreeing(F.col("planesa"), F.col("planesb")) <= most_disagreeing(self.percent)
-        found = one.join(two, "key").where("componenta <> componentb").where(F.when(apart & possible, F.when(met, F.lit(False)).otherwise(near)).otherwise(F.lit(False)))
-        return found.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
+        signed = self.keep(rows.select("key", "id", "band", "component").join(nodes.select("id", "planes", "bands"), "id").join(largest, "key"), "signed")
+        side = lambda df, c, *more: df.select(F.col("key").alias(f"key{c}"), *[F.col(x).alias(f"{x}{c}") for x in ("id", "band", "component", "largest", "planes", "bands", *more)])
+        met = F.arrays_overlap(F.slice("bandsa", F.lit(1), F.col("banda")), F.slice("bandsb", F.lit(1), F.col("banda")))
+        possible = (F.col("keya") == F.col("keyb")) & (F.col("componenta") != F.col("componentb")) & (disagreeing(F.col("planesa"), F.col("planesb")) <= most_disagreeing(self.percent))
+        outer, inner = F.col("component") != F.col("largest"), F.col("component") == F.col("largest")
+        some = side(signed.where(outer), "a").join(side(signed, "b"), possible, "left_semi").select(F.col("ida").alias("id"), F.col("keya").alias("key"))
+        some = self.keep(some, "some")
+        wanted = some.select("key").distinct()
+        ones = F.aggregate("map", F.lit(0), lambda n, x: n + F.bit_count(x))
+        full = self.keep(signed.where(inner).join(wanted, "key", "left_semi").unionByName(signed.where(outer).join(some, ["key", "id"], "left_semi")).join(sets, "id").withColumn("hidden", F.size("items") - ones), "full")
+        near = lambda shared: 100 * shared >= self.percent * (F.size("itemsa") + F.size("itemsb") - shared)
+        hopeful = near(most_shared(F.col("mapa"), F.col("mapb"), F.col("hiddena"), F.col("hiddenb")))
+        exact = near(F.size(F.array_intersect("itemsa", "itemsb")))
+        # a short condition: the compiler leaves methods of over 8,000 bytes to the interpreter
+        linked = (F.col("componenta") != F.col("componentb")) & F.when(hopeful, F.when(met, F.lit(False)).otherwise(exact)).otherwise(F.lit(False))
+        one = side(full.where(outer), "a", "items", "map", "hidden")
+        same = F.col("keya") == F.col("keyb")
+        to_largest = one.join(side(full.where(inner), "b", "items", "map", "hidden"), same & linked, "left_semi").select(F.col("ida").alias("a"), F.col("largesta").alias("b"))
+        others = one.join(side(full.where(outer), "b", "items", "map", "hidden"), same & (F.col("componenta") < F.col("componentb")) & linked).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+        return to_largest.unionByName(others)
 
     def labelled(self, labels: DataFrame | None, found: DataFrame) -> DataFrame:
         """Components (node, component) of all links so far, from those before and the new links alone."""
@@ -183,21 +206,20 @@ class _Search:
         least = self.keep(chosen.groupBy("fp0", "fp1", "n").agg(F.min("id").alias("rep")), "rep")
         classed = self.keep(chosen.join(least, ["fp0", "fp1", "n"]).select("id", "rep", "n", "fp0", "fp1"), "class")
         nodes = full.join(classed.where("id = rep").select("id", "n", "fp0", "fp1"), ["id", "n", "fp0", "fp1"], "left_semi").dropDuplicates(["id"])
-        nodes = self.keep(nodes.select("id", "planes", "bands"), "nodes")
+        nodes = self.by_id(nodes.select("id", "planes", "bands"), "nodes")
         # a leader for each bucket of two or more, another one in each, since the key turns the order of the ids over
         rows = nodes.select(F.posexplode("bands").alias("band", "key"), "id")
         leaders = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("x")).where("c > 1")
         leaders = self.keep(leaders.select("key", F.col("x").bitwiseXOR(F.col("key")).alias("leader")), "leaders")
         rows = self.keep(rows.join(leaders, "key"), "rows")
-        sets = self.keep(sets_of(self.docs, rows.select("id").distinct(), self.text, self.id_col, self.shingle), "sets")
+        sets = self.by_id(sets_of(self.docs, rows.select("id").distinct(), self.text, self.id_col, self.shingle), "sets")
         labels = None
         for salt in range(1, ROUNDS + 1):
             stars = rows if salt == 1 else rows.where("component <> lead_component")
-            stars = stars.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), "id").distinct()
-            # one confirmation a round for each document: its likeliest leader
-            likely = self.candidates(stars.select("a", "b").distinct(), nodes)
-            best = stars.join(likely, ["a", "b"]).groupBy("id").agg(F.min(F.struct("differ", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-            found = self.keep(self.confirmed(best, sets), "links")
+            ends = stars.where("id <> leader").groupBy(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).agg(F.min("id").alias("x"), F.max("id").alias("y"))
+            # what is confirmed in a round: each document's likeliest leader, and all pairs that lead each other, which join stars
+            likely = self.candidates(ends, nodes).groupBy("x", F.when(F.col("x") < F.col("y"), F.col("y"))).agg(F.min(F.struct("differ", "a", "b")).alias("best"))
+            found = self.keep(self.confirmed(likely.select("best.a", "best.b"), sets), "links")
             grew = not found.isEmpty()
             if grew:
                 labels = self.labelled(labels, found)
@@ -215,7 +237,7 @@ class _Search:
             if not grew or rows.isEmpty():
                 break
         # the rest in full: members of one bucket in different components
-        rest = self.keep(self.confirmed(self.rest(rows, nodes, sets).distinct(), sets), "links")
+        rest = self.keep(self.rest(rows, nodes, sets).distinct(), "links")
         if not rest.isEmpty():
             labels = self.labelled(labels, rest)
         out = sigs.select("id", "n").join(classed.select("id", "rep"), "id", "left")
