@@ -12,10 +12,14 @@ fixed size. A lookup asks the filter, bisects the index, reads one block and bis
 from __future__ import annotations
 
 import bisect
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, session, shared_dir, utf8
+from .common import materialize, session, shared_dir
+from .runs import LONGEST, MOST, RunCache
 
 MAGIC = b"FOLIASST"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -198,68 +203,94 @@ class Shard:
         return None
 
 
-class ChunkEncoder:
-    """The tokenizers library over whole texts, with what it gave for each run of characters between ASCII white space kept.
-
-    This vocabulary's pre-tokenizer drops white space and never looks across it, and it parts a final run of ASCII punctuation
-    from a letter before it, so runs can be encoded one by one. At most MOST runs are kept at a time.
+# The vocabulary's way to part a text, as its file states it. Runs between white space can be encoded one by one only where a
+# file has just these steps; any other file encodes whole texts.
+NORMALIZERS = {"NFC", "Replace", "Lowercase"}
+SPACES = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Runs of these characters alone are in normal form C however they stand together, and lower case is the same everywhere.
+PLAIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u00a1\u00bf\u00ab\u00bb\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*").fullmatch
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\n\x0b\f\ra-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+TOGETHER = 256  # parts encoded by one call
+
+
+def parts_at_space(model: dict) -> bool:
+    """Whether a tokenizer's file drops white space, never looks across it, and parts a run by PARTS in lower case."""
+    normal = model.get("normalizer") or {}
+    steps = normal.get("normalizers", []) if normal.get("type") == "Sequence" else []
+    before = model.get("pre_tokenizer") or {}
+    splits = before.get("pretokenizers", []) if before.get("type") == "Sequence" else []
+    return (
+        {s.get("type") for s in steps} == NORMALIZERS and all(s == SPACES for s in steps if s["type"] == "Replace") and [s.get("type") for s in splits] == ["Split", "ByteLevel"]
+        and (splits[0].get("pattern"), splits[0].get("behavior"), splits[0].get("invert")) == ({"Regex": PARTS}, "Removed", True)
+        and (splits[1].get("add_prefix_space"), splits[1].get("use_regex")) == (False, False) and not model.get("post_processor") and model["model"].get("type") == "BPE"
+        and all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].split() == [t["content"]] for t in model.get("added_tokens", []))
+    )
+
+
+class TextEncoder:
+    """The tokenizers library over whole texts.
+
+    Where the file parts at white space, each distinct run is encoded once. A run of plain characters is lowered and parted here
+    as the file says, and the library gets the distinct parts, many in one call; other runs go to it whole.
     """
 
-    MOST = 1_000_000
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.dtype = np.dtype(f"<u{self.width}")
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
-        self.offsets, self.n = np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > self.MOST:
-            self._clear()
-        for k in range(0, len(chunks), 10_000):
-            part = chunks[k : k + 10_000]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            ids = np.fromiter((i for e in encoded for i in e), self.dtype, int(sizes.sum()))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.n + len(part) + 1 > len(self.offsets):
-                self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.offsets[self.n + 1 : self.n + 1 + len(part)] = self.used + np.cumsum(sizes)
-            self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.used, self.n = self.used + len(ids), self.n + len(part)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts end to end, and the n + 1 offsets."""
-        split = [t.split() for t in texts]
-        chunks = [c for s in split for c in s]
-        new = set(chunks).difference(self.known)
-        if len(self.known) + len(new) > self.MOST:  # what is kept goes at once, so learn all that these texts need again
-            new = set(chunks)
-        if new:
-            self._learn(list(new))
-        index = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        begin, size = self.offsets[index], self.offsets[index + 1] - self.offsets[index]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
-        return ids, ends[np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)]
-
-
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        self.added = [t["content"] for t in model.get("added_tokens", [])]
+        self.cache = RunCache(self.dtype, self._runs) if parts_at_space(model) else None
+        self.parts: dict[str, tuple[int, ...]] = {}
+
+    @property
+    def width(self) -> int:
+        return self.dtype.itemsize
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> list[tuple[int, ...]]:
+        joined = "\n".join(runs)
+        special = [a for a in self.added if a in joined]
+        cut = [PART.findall(low) if (run.isascii() or PLAIN(run)) and not any(a in run for a in special) else None for run, low in zip(runs, joined.lower().split("\n"), strict=True)]
+        whole = self._whole([run for run, parts in zip(runs, cut, strict=True) if parts is None])
+        if len(self.parts) > MOST:
+            self.parts.clear()
+        known = self.parts
+        new = list(set(chain.from_iterable(filter(None, cut))).difference(known))
+        for i in range(0, len(new), TOGETHER):
+            group = new[i : i + TOGETHER]
+            e = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            ids, at = tuple(e.ids), np.searchsorted(np.asarray(e.word_ids), np.arange(len(group) + 1)).tolist()
+            known.update((p, ids[at[n] : at[n + 1]]) for n, p in enumerate(group))
+        rest = iter(whole)
+        out = [next(rest) if parts is None else known[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and the n + 1 offsets; null counts as empty."""
+        if self.cache is not None:
+            return self.cache.texts(texts)
+        encoded = self._whole([t or "" for t in texts.to_pylist()])
+        ends = np.concatenate([[0], np.cumsum([len(e) for e in encoded], dtype=np.int64)]).astype(np.int64)
+        return np.concatenate([np.zeros(0, self.dtype), *[np.asarray(e, self.dtype) for e in encoded]]), ends
+
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
     """A worker's one encoder of a vocabulary; it outlives a task."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 
@@ -297,9 +328,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, text: str = "text
 
         manifest = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
         for b in batches:
-            data, ends = utf8(b.column("text"))
-            raw, doc_ids = data.tobytes(), b.column("id").to_pylist()
-            ids, at = coder.encode([raw[ends[k] : ends[k + 1]] for k in range(len(doc_ids))])
+            doc_ids = b.column("id").to_pylist()
+            ids, at = coder.encode(b.column("text"))
             for k, doc_id in enumerate(doc_ids):
                 if writer is None:
                     partial, first = f"{base}/.part-{part:06d}-{number:04d}.{uuid.uuid4().hex}", doc_id
