@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, materialize, session
 from .graph import components
+from .suffix import numbered
 
 TABLES, PROBES = 10, 10
 #: Length of the projected unit that is one unit of the lattice: neighbours at cosine 0.93 lie 0.13 apart when projected.
@@ -102,20 +103,24 @@ def near_vectors(
 
     Returns vec_id, n_links (other rows linked directly), component_id (least id reachable, itself included), kept. Rows whose
     group is null, or whose vector is null, empty, zero, or holds null or non-finite components, link with nothing, nor do
-    vectors of different lengths. Rows without an id are returned unlinked and kept; repeated rows count as other rows.
+    vectors of different lengths. Rows without an id are returned unlinked and kept; rows that share an id are other rows, each
+    with the links of its own vector: every row of df gives one row.
     A found link is always right; the share of links found is measured in the tests.
     """
     session(df)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(group).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col("id").isNotNull() & F.col("g").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
-    good = rows.where(F.coalesce(usable, F.lit(False))).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
-    nodes = materialize(good.groupBy("g", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "e8-nodes")
-    classed = materialize(good.join(nodes, ["g", "v"]).select("id", "rep"), "e8-class")
+    usable = F.coalesce(F.col("id").isNotNull() & F.col("g").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    good = rows.where(usable).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
+    classes = good.groupBy("g", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    # a class's number: ids may repeat, but the order of the numbers is that of the classes' least ids
+    named = materialize(classes.withColumns({"h1": F.xxhash64("g", "v"), "h2": F.xxhash64("v", "g")}), "e8-classes")
+    order = ["rep", "h1", "h2"]
+    nodes = materialize(named.join(numbered(named.select(*order), order, "no", "e8-order"), order), "e8-nodes")
 
     def file(batches):
         for b in batches:
-            ids, groups = b.column("rep").to_numpy(), b.column("g").to_pylist()
+            ids, groups = b.column("no").to_numpy(), b.column("g").to_pylist()
             lists = b.column("v")
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy()
@@ -137,27 +142,30 @@ def near_vectors(
                     names=["key", "asks", "id", "s0", "s1"],
                 )
 
-    filed = materialize(nodes.select("rep", "g", "v").mapInArrow(file, "key long, asks boolean, id long, s0 long, s1 long"), "e8-filed")
+    filed = materialize(nodes.select("no", "g", "v").mapInArrow(file, "key long, asks boolean, id long, s0 long, s1 long"), "e8-filed")
     a, b = filed.select("key", "asks", *[F.col(c).alias(f"{c}a") for c in ("id", "s0", "s1")]), filed.where("NOT asks").select("key", *[F.col(c).alias(f"{c}b") for c in ("id", "s0", "s1")])
     differ = F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))) + F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b")))
     pairs = a.join(b, "key").where((F.col("ida") < F.col("idb")) | F.col("asks") & (F.col("ida") > F.col("idb"))).where(differ <= most_differing(cosine))
     pairs = pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
-    sides = [nodes.select(F.col("rep").alias(c), F.col("g").alias(f"g{c}"), F.col("v").alias(f"v{c}"), F.col("copies").alias(f"n{c}")) for c in "ab"]
+    sides = [nodes.select(F.col("no").alias(c), F.col("g").alias(f"g{c}"), F.col("v").alias(f"v{c}"), F.col("copies").alias(f"n{c}")) for c in "ab"]
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     scaled = lambda c: F.transform(c, lambda x: x / F.array_max(F.transform(c, F.abs)))
     both = pairs.join(sides[0].withColumn("va", scaled("va")), "a").join(sides[1].withColumn("vb", scaled("vb")), "b").where("ga = gb AND size(va) = size(vb)")
     links = both.where(dot("va", "vb") >= cosine * F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb"))).select("a", "b", "na", "nb")
     links = materialize(links, "e8-links")
-    counts = links.select(F.col("a").alias("rep"), F.col("nb").alias("n")).union(links.select(F.col("b"), F.col("na"))).groupBy("rep").agg(F.sum("n").alias("others"))
-    out = rows.select("id").join(classed.distinct(), "id", "left").join(counts, "rep", "left")
-    out = out.join(nodes.select("rep", "copies", F.col("g").alias("ng")), "rep", "left")
+    counts = links.select(F.col("a").alias("no"), F.col("nb").alias("n")).union(links.select(F.col("b"), F.col("na"))).groupBy("no").agg(F.sum("n").alias("others"))
+    found = nodes.select("no", "rep", "copies", "g", "v").join(counts, "no", "left")
     if links.isEmpty():
-        out = out.withColumn("component", F.col("rep"))
+        found = found.withColumn("component", F.col("rep"))
     else:
-        out = out.join(components(links).select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    out = out.select("id", (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+        least = nodes.select(F.col("no").alias("least"), F.col("rep").alias("component"))
+        parts = components(links).select(F.col("node").alias("no"), F.col("component").alias("least")).join(least, "least")
+        found = found.join(parts.select("no", "component"), "no", "left").withColumn("component", F.coalesce("component", "rep"))
+    n_links = (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long")
+    linked = good.join(found, ["g", "v"]).select("id", n_links.alias("n_links"), "component")
+    out = linked.unionByName(rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
     out = materialize(out, "e8-out")
-    for table in (nodes, classed, filed, links):
+    for table in (named, nodes, filed, links):
         drop_table(table)
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 

@@ -21,7 +21,7 @@ from .common import drop_table, materialize, session
 
 #: Words that a repeated run needs for its later copies to go.
 MIN_WORDS = 50
-#: Bits of a line's number inside its document.
+#: Bits of a line's number inside its document; more where a document has more lines.
 LINE_BITS = 24
 
 
@@ -74,7 +74,8 @@ def repeated_lines(docs: DataFrame, text: str, id_col: str, min_words: int) -> D
     common = t.keep(lines.join(often, ["h1", "h2"]).dropDuplicates(["k1", "k2", "line"]), "common")
     rows = numbered(common.select("id", "k1", "k2").distinct(), ["id", "k1", "k2"], "row", "lines-rows")
     rows = t.keep(rows.select("row", "k1", "k2"), "rows")
-    pos = F.shiftleft(F.col("row"), LINE_BITS) + F.col("line")
+    bits = max(LINE_BITS, int(common.agg(F.max("line")).first()[0] or 0).bit_length() + 1)  # a line after the last stays in its row
+    pos = F.shiftleft(F.col("row"), bits) + F.col("line")
     common = t.keep(common.join(rows, ["k1", "k2"]).select(pos.alias("pos"), "row", "line", "w", "h1", "h2"), "pos")
 
     # windows: from and to the lines of each unbroken stretch

@@ -182,6 +182,27 @@ def test_vectors_hard(spark):
     assert lattice.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_repeated_ids(spark):
+    """Every row gives one row, with the links of its own vector."""
+    x, y, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.1, 0.0]
+    rows = [(5, x, 1), (5, y, 1), (6, near, 1), (7, y, 1), (5, x, 1), (5, None, 1), (7, near, 2), (4, y, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.near_vectors(df).collect())
+    assert got == [(4, 0, 4), (5, 0, 5), (5, 1, 5), (5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 0, 7), (7, 1, 5)]
+
+
+def test_vectors_dense_family(spark):
+    """A family in which nearly all are linked, as a group of near copies is."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=16)
+    rows = [(i, (base + rng.normal(size=16) * 0.15).tolist(), 1) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = brute_links(rows, 0.93)
+    got = {r.vec_id: r for r in lattice.near_vectors(df).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(len(s) for s in want.values())
+    assert len({got[k].component_id for k, s in want.items() if s}) == 1
+
+
 # the pipeline
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
