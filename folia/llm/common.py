@@ -25,9 +25,13 @@ def session(df: DataFrame) -> SparkSession:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder's name under the folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (one machine, tests) a local one serves.
+    The cluster names it in spark.checkpoint.dir; only on one machine a local one serves where that is unset.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "folia-shared")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "folia-shared")
     return f"{base.rstrip('/')}/folia-{tag}-{uuid.uuid4().hex}"
 
 

@@ -214,6 +214,10 @@ def fit(clean: list[str], toxic: list[str]) -> Model:
     return model
 
 
+#: Words whose emissions a task keeps at a time.
+MOST_WORDS = 300_000
+
+
 def _summary(p: np.ndarray) -> tuple[float, float]:
     most = min(max(float(p.max(initial=0.0)), 1e-4), 1 - 1e-4)
     return math.log(most / (1 - most)), math.log(float(p.sum()) + 1e-3)
@@ -222,11 +226,13 @@ def _summary(p: np.ndarray) -> tuple[float, float]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id", label: str = "toxic", most: tuple[int, int] = SAMPLE) -> tuple[list[str], list[str]]:
     """Whole texts of at most so many labelled documents, clean and toxic, chosen by a hash of their ids.
 
-    training is a condition on the labels' ids. Only this bounded set of ids is broadcast, and only its texts reach the driver.
+    training is a condition on the labels' ids. Only this bounded set of ids is broadcast, and only a text for each reaches the
+    driver: of rows that share an id the first in order of their texts. An id with both labels counts as toxic.
     """
-    wanted = labels.where(training & F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(id_col, (F.col(label) != 0).alias("bad")).dropDuplicates([id_col])
+    wanted = labels.where(training & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label) != 0).alias("bad"))
     parts = [wanted.where(F.col("bad") == bad).orderBy(F.xxhash64(id_col), id_col).limit(most[bad]) for bad in (False, True)]
-    rows = docs.select(id_col, text).where(F.col(text).isNotNull()).join(F.broadcast(parts[0].union(parts[1])), id_col).collect()
+    rows = docs.select(id_col, text).where(F.col(text).isNotNull()).join(F.broadcast(parts[0].union(parts[1])), id_col)
+    rows = rows.groupBy(id_col, "bad").agg(F.min(text).alias(text)).collect()
     rows.sort(key=lambda r: (r[id_col], r[text]))
     return [r[text] for r in rows if not r["bad"]], [r[text] for r in rows if r["bad"]]
 
@@ -253,7 +259,7 @@ def tag(docs: DataFrame, model: Model, text: str = "text", to: str = "toxicity",
         for b in batches:
             texts = b.column(name).to_pylist()
             split = [(t or "").split() for t in texts]
-            if len(known) > 1_000_000:
+            if len(known) > MOST_WORDS:
                 known.clear()
             for w in {w for s in split for w in s if w not in known}:
                 known[w] = model.emission(w)
