@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folia import functions as fn
 from folia.operators import aggregates, folds, joins, windows
+from folia.plans.settle import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,15 +70,22 @@ PAGES_SQL = f"""{LINES_SQL},
 
 
 def titled_pages(t) -> DataFrame:
-    d = t("documents").where("source IS NOT NULL").select("source", "doc_id")
-    pages = windows.starts_before(d.withColumn("one", F.lit(1)), ["source"], ["doc_id"], "one", "before").withColumn("page_no", F.col("before") + 1)
-    counts = d.groupBy("source").agg(F.count("*").alias("pages"))
-    pages = pages.join(counts, "source")
-    bare = (F.col("page_no") == F.col("pages")) & (F.substring("source", 4, 10).cast("int") % 5 == 0)
-    body = source_lines(t).join(pages.where(~bare).select("source", "doc_id", "page_no"), ["source", "doc_id"])
-    title = pages.select("source", "page_no", F.lit(0).alias("line_no"), F.concat(F.lit("Report "), "source", F.lit(" page "), F.col("page_no").cast("string")).alias("text"))
-    lines = body.select("source", "page_no", (F.col("line_no") + 1).alias("line_no"), F.col("line").alias("text")).unionByName(title)
-    return lines.select("source", "page_no", "line_no", "text", (F.col("line_no") * 14 + 20).cast("double").alias("top"), (F.col("line_no") * 14 + 30).cast("double").alias("bottom"), F.lit(842.0).alias("page_height"))
+    """source, page_no, line_no, text, top, bottom, page_height: documents are exploded once; the pages' numbers are counted over narrow rows."""
+    d = t("documents").where("source IS NOT NULL")
+    pages = windows.places(d.select("source", "doc_id"), ["source"], ["doc_id"]).withColumn("page_no", F.col("place") + 1).drop("place")
+    last = d.groupBy("source").agg(F.max("doc_id").alias("last"))
+    bare = (F.col("doc_id") == F.col("last")) & (F.substring("source", 4, 10).cast("int") % 5 == 0)
+    titled = d.select("source", "doc_id", "text").join(pages, ["source", "doc_id"]).join(last, "source")
+    title = F.concat(F.lit("Report "), "source", F.lit(" page "), F.col("page_no").cast("string"))
+    body = F.split(F.coalesce("text", F.lit("")), "\n")
+    lines = titled.select("source", "page_no", F.posexplode(F.when(F.coalesce(bare, F.lit(False)), F.array(title)).otherwise(F.concat(F.array(title), body))).alias("line_no", "text"))
+    return lines.withColumns({"top": (F.col("line_no") * 14 + 20).cast("double"), "bottom": (F.col("line_no") * 14 + 30).cast("double"), "page_height": F.lit(842.0)})
+
+
+def narrow_pages(t) -> DataFrame:
+    """titled_pages() written once, with the texts of the margins only and the length of each."""
+    pages = titled_pages(t).withColumn("n", F.length("text"))
+    return settle(pages.withColumn("text", F.when(fn.in_margin(F.col("top"), F.col("bottom"), F.col("page_height")).isNotNull(), F.col("text"))), "pages")
 
 
 #: Boxes from events, forty a page at most.
@@ -128,8 +136,7 @@ SAFE_SQL = f"""WITH {PAGES_SQL},
 
 @query(f"{SAFE_SQL} SELECT source, zone, at_y, masked, n_pages, first_page FROM safe")
 def running_text_safe(t):
-    lines = titled_pages(t)
-    return aggregates.safe_running_text(lines, aggregates.running_text(lines, "source"), "source").withColumnRenamed("at", "at_y")
+    return aggregates.safe_running_text(narrow_pages(t), "source")[0].withColumnRenamed("at", "at_y")
 
 
 FLOW_SQL = f"""{SAFE_SQL},
@@ -146,26 +153,24 @@ FLOW_SQL = f"""{SAFE_SQL},
            sum(CASE WHEN abs(re - x_max) > 1.0 THEN 1 ELSE 0 END) - arg_max(CASE WHEN abs(re - x_max) > 1.0 THEN 1 ELSE 0 END, line_no) AS ragged FROM f5 GROUP BY ALL)"""
 
 
-def flow(t) -> tuple[DataFrame, DataFrame]:
-    """Body lines without running text, and their paragraphs."""
-    pages = titled_pages(t)
-    buckets = aggregates.safe_running_text(pages, aggregates.running_text(pages, "source"), "source")
-    gone = aggregates.running_lines(pages, buckets, "source")
-    n = F.length("text")
-    sized = pages.select("source", "page_no", "line_no", "text", "top", F.lit(10.0).alias("height"), (10 + n % 7).cast("double").alias("size"), (50 + n % 5).cast("double").alias("x_min"), (50 + n % 500 + 60).cast("double").alias("x_max"))
-    body = joins.without(windows.page_edges(sized, ["source", "page_no"]), gone, ["source", "page_no", "line_no"])
+def flow(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Body lines of narrow_pages() without running text, and their paragraphs."""
+    _, hits = aggregates.safe_running_text(pages, "source")
+    n = F.col("n")
+    sized = pages.select("source", "page_no", "line_no", "top", F.lit(10.0).alias("height"), (10 + n % 7).cast("double").alias("size"), (50 + n % 5).cast("double").alias("x_min"), (50 + n % 500 + 60).cast("double").alias("x_max"))
+    body = joins.without(windows.page_edges(sized, ["source", "page_no"]), hits, ["source", "page_no", "line_no"])
     lines = windows.paragraphs(body, ["source", "page_no"], "line_no")
     return lines, lines.groupBy("source", "page_no", "para_no").agg(F.count("*").alias("n_lines"), F.avg("size").alias("size"), F.min("line_no").alias("first_line"))
 
 
 @query(f"{FLOW_SQL} SELECT source, page_no, para_no, n_lines, first_line FROM f6")
 def paragraph_islands(t):
-    return flow(t)[1].drop("size")
+    return flow(narrow_pages(t))[1].drop("size")
 
 
 @query(f"{FLOW_SQL} SELECT source, page_no, para_no, CASE WHEN w <= 20 THEN 'Default' WHEN c THEN 'Center' WHEN r THEN 'Right' WHEN n_lines > 1 AND ragged = 0 THEN 'Justify' ELSE 'Default' END AS alignment FROM f6")
 def alignment_bool_and(t):
-    return aggregates.alignment(flow(t)[0], ["source", "page_no", "para_no"], "line_no")
+    return aggregates.alignment(flow(narrow_pages(t))[0], ["source", "page_no", "para_no"], "line_no")
 
 
 STYLE_CASE = "CASE WHEN n_lines > 3 THEN 'Normal' WHEN size / body_size >= 1.70 THEN 'Title' WHEN size / body_size >= 1.40 THEN 'Heading1' WHEN size / body_size >= 1.22 THEN 'Heading2' WHEN size / body_size >= 1.10 THEN 'Heading3' ELSE 'Normal' END"
@@ -175,9 +180,9 @@ STYLE_CASE = "CASE WHEN n_lines > 3 THEN 'Normal' WHEN size / body_size >= 1.70
     SELECT source, page_no, para_no, n_lines, {STYLE_CASE} AS style FROM f6 JOIN m USING (source)""")
 def flagship_paragraphs(t):
     """Which paragraphs do documents have once running headers and footers are removed, and in what style?"""
-    lines, paras = flow(t)
-    n = F.length("text")
-    body = aggregates.body_size(titled_pages(t).select("source", (10 + n % 7).cast("double").alias("size")), ["source"], "size")
+    pages = narrow_pages(t)
+    lines, paras = flow(pages)
+    body = aggregates.body_size(pages.select("source", (10 + F.col("n") % 7).cast("double").alias("size")), ["source"], "size")
     return paras.join(body, "source").select("source", "page_no", "para_no", "n_lines", fn.style_for_size(F.col("size"), F.col("body_size"), F.col("n_lines")).alias("style"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folia.functions import in_margin, mask_digits
+from folia.plans.settle import settle
 
 
 def body_size(lines: DataFrame, part: list[str], size: str) -> DataFrame:
@@ -21,34 +22,42 @@ def line_extents(fragments: DataFrame, part: list[str]) -> DataFrame:
     )
 
 
+def margin_lines(lines: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """Lines in a margin zone: doc, page, line_no, zone, at (whole points), masked (the text without its digits). lines: doc, page, line_no, top, bottom, page_height, text."""
+    zoned = lines.withColumn("zone", in_margin(F.col("top"), F.col("bottom"), F.col("page_height"))).where("zone IS NOT NULL")
+    return zoned.select(doc, page, "line_no", "zone", F.round("top").cast("long").alias("at"), mask_digits(F.col(text)).alias("masked"))
+
+
+def _buckets(margin: DataFrame, totals: DataFrame, doc: str, page: str, rule: Column | None) -> DataFrame:
+    pages = totals.groupBy(doc).agg(F.count("*").alias("pages"))
+    found = margin.groupBy(doc, "zone", "at", "masked").agg(F.countDistinct(page).alias("n_pages"), F.min(page).alias("first_page"))
+    enough = (F.col("n_pages") >= 2) & (F.col("n_pages") >= F.expr("pages DIV 2")) if rule is None else rule
+    return found.join(pages, doc).where(enough).select(doc, "zone", "at", "masked", "n_pages", "first_page")
+
+
 def running_text(lines: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text", rule: Column | None = None) -> DataFrame:
     """Buckets of lines in a margin zone that recur at one height on at least half of a document's pages, digits aside, and on two.
 
     lines: doc, page, line_no, top, bottom, page_height, text. Returns doc, zone, at, masked, n_pages, first_page. rule
     replaces the condition on n_pages and pages.
     """
-    zoned = lines.withColumn("zone", in_margin(F.col("top"), F.col("bottom"), F.col("page_height"))).where("zone IS NOT NULL")
-    keyed = zoned.withColumn("at", F.round("top").cast("long")).withColumn("masked", mask_digits(F.col(text)))
-    buckets = keyed.groupBy(doc, "zone", "at", "masked").agg(F.countDistinct(page).alias("n_pages"), F.min(page).alias("first_page"))
-    pages = lines.groupBy(doc).agg(F.countDistinct(page).alias("pages"))
-    enough = (F.col("n_pages") >= 2) & (F.col("n_pages") >= F.expr("pages DIV 2")) if rule is None else rule
-    return buckets.join(pages, doc).where(enough).select(doc, "zone", "at", "masked", "n_pages", "first_page")
-
+    return _buckets(margin_lines(lines, doc, page, text), lines.select(doc, page).distinct(), doc, page, rule)
 
-def safe_running_text(lines: DataFrame, buckets: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
-    """The buckets that empty no page: where all lines of a page would go with one zone's buckets, each bucket that touches the page stays in the text everywhere."""
-    hits = running_lines(lines, buckets, doc, page, text)
-    totals = lines.groupBy(doc, page).agg(F.count("*").alias("n_lines"))
-    emptied = hits.groupBy(doc, page, "zone").agg(F.countDistinct("line_no").alias("n_hit")).join(totals, [doc, page]).where("n_hit >= n_lines").select(doc, page, "zone")
-    rejected = hits.join(emptied, [doc, page, "zone"], "left_semi").select(doc, "zone", "at", "masked").distinct()
-    return buckets.join(rejected, [doc, "zone", "at", "masked"], "left_anti")
 
+def safe_running_text(lines: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text", rule: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The buckets that empty no page, and the lines in them (doc, page, line_no, zone, at, masked).
 
-def running_lines(lines: DataFrame, buckets: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
-    """The lines in the buckets: doc, page, line_no, zone, at, masked."""
-    zoned = lines.withColumn("zone", in_margin(F.col("top"), F.col("bottom"), F.col("page_height"))).where("zone IS NOT NULL")
-    keyed = zoned.select(doc, page, "line_no", "zone", F.round("top").cast("long").alias("at"), mask_digits(F.col(text)).alias("masked"))
-    return keyed.join(buckets.select(doc, "zone", "at", "masked"), [doc, "zone", "at", "masked"], "left_semi").select(doc, page, "line_no", "zone", "at", "masked")
+    Where all lines of a page would go with one zone's buckets, each bucket that touches the page stays in the text everywhere.
+    lines are read twice, so they should be a written table; the few lines of the margins and what is found in them are written.
+    """
+    key = [doc, "zone", "at", "masked"]
+    totals = settle(lines.groupBy(doc, page).agg(F.count("*").alias("n_lines")), "page-lines")
+    margin = settle(margin_lines(lines, doc, page, text), "margin")
+    buckets = settle(_buckets(margin, totals, doc, page, rule), "buckets")
+    hits = settle(margin.join(buckets.select(*key), key), "hits")
+    emptied = hits.groupBy(doc, page, "zone").agg(F.countDistinct("line_no").alias("n_hit")).join(totals, [doc, page]).where("n_hit >= n_lines").select(doc, page, "zone")
+    rejected = settle(hits.join(emptied, [doc, page, "zone"], "left_semi").select(*key).distinct(), "rejected")
+    return buckets.join(rejected, key, "left_anti"), hits.join(rejected, key, "left_anti")
 
 
 def alignment(lines: DataFrame, part: list[str], order: str) -> DataFrame:

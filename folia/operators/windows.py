@@ -88,16 +88,23 @@ def starts_overall(df: DataFrame, order: list[str], size: str, to: str = "start"
     return own.withColumn(to, F.col(to) + F.col("part start")).select(*df.columns, to)
 
 
+def places(df: DataFrame, part: list[str], order: list[str], to: str = "place") -> DataFrame:
+    """Each row's number from 0 within its part, by range partitions and the counts of those before: no part, however large, is in one task. Null is a part too."""
+    placed = settle(starts_overall(df.withColumn("one row", F.lit(1)), [*part, *order], "one row", "place overall").drop("one row"), "places")
+    first = placed.groupBy(*[F.col(p).alias(f"first {p}") for p in part]).agg(F.min("place overall").alias("first place"))
+    same = [F.col(p).eqNullSafe(F.col(f"first {p}")) for p in part]
+    return placed.join(first, same).withColumn(to, F.col("place overall") - F.col("first place")).select(*df.columns, to)
+
+
 def consecutive_ranges(df: DataFrame, part: list[str], value: str) -> DataFrame:
     """Distinct integers as ranges: part, first, last, n."""
-    w = Window.partitionBy(*part).orderBy(value)
-    own = df.select(*part, value).distinct().withColumn("range", F.col(value) - F.row_number().over(w))
+    own = places(df.select(*part, value).distinct(), part, [value]).withColumn("range", F.col(value) - F.col("place"))
     return own.groupBy(*part, "range").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("range")
 
 
 def batches(df: DataFrame, part: list[str], order: list[str], size: int, to: str = "batch") -> DataFrame:
     """Numbers batches of so many rows from 0."""
-    return df.withColumn(to, F.floor((F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1) / size).cast("long"))
+    return places(df, part, order).withColumn(to, F.floor(F.col("place") / size).cast("long")).drop("place")
 
 
 def cell_paragraphs(df: DataFrame, part: list[str], order: list[str], top: str, to: str = "para_no") -> DataFrame:

@@ -72,8 +72,7 @@ def lines(fragments: DataFrame) -> DataFrame:
 def running(lines: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Running text: paragraphs (doc_id, part, n, runs) in byte order of position and masked text, and the keys of the lines that it takes."""
     sized = lines.join(pages.select(*KEY, F.col("height").alias("page_height")), KEY).withColumn("bottom", F.col("top") + F.col("height"))
-    buckets = aggregates.safe_running_text(sized, aggregates.running_text(sized))
-    hits = aggregates.running_lines(sized, buckets)
+    _, hits = aggregates.safe_running_text(sized)
     first = hits.join(lines.select(*KEY, "line_no", "runs"), [*KEY, "line_no"]).groupBy("doc_id", "zone", "at", "masked").agg(F.min_by("runs", F.struct("page_no", "line_no")).alias("runs"))
     order = Window.partitionBy("doc_id", "zone").orderBy(F.concat(F.col("at").cast("string"), F.lit("|"), F.col("masked")))
     return first.select("doc_id", F.col("zone").alias("part"), (F.row_number().over(order) - 1).alias("n"), "runs"), hits.select(*KEY, "line_no").distinct()
