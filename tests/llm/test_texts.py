@@ -54,11 +54,6 @@ def test_licenses_hard(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
-def test_license_anchor_is_the_rarest_word():
-    n = licenses.notice("x", "all rights reserved")
-    assert licenses.anchors([n], 100, {"all": 90, "rights": 4, "reserved": 9}) == [("rights", 1)]
-
-
 # Ogg
 @pytest.mark.parametrize("size", [0, 1, 575, 576, 577, 49_000, 200_000])
 def test_ogg_round_trip(size):
