@@ -10,10 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folia import functions as fn
 from folia.operators import aggregates, folds, joins, windows
 from folia.plans.settle import settle
+from folia.sinks import docx
+from folia.sources import images, ooxml, xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -446,9 +449,10 @@ def glyph_advance_sum(t):
 
 @query("""WITH RECURSIVE g(root, glyph, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION ALL SELECT root, (glyph * 3 + 1) % 25, depth + 1 FROM g WHERE depth < 8) SELECT DISTINCT root, glyph FROM g""")
 def glyph_closure(t):
-    nation = t("nation").select(F.col("n_nationkey").alias("root"), F.col("n_nationkey").alias("glyph"))
-    nation.createOrReplaceTempView("folia_glyph_roots")
-    return nation.sparkSession.sql("WITH RECURSIVE g(root, glyph, depth) AS (SELECT root, glyph, 0 FROM folia_glyph_roots UNION ALL SELECT root, (glyph * 3 + 1) % 25, depth + 1 FROM g WHERE depth < 8) SELECT DISTINCT root, glyph FROM g")
+    nation = t("nation")
+    roots = nation.select(F.col("n_nationkey").alias("root"), F.col("n_nationkey").alias("glyph"))
+    parts = nation.select(F.col("n_nationkey").alias("glyph"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("part"))
+    return joins.reachable(roots, parts, ["root"], "glyph", "part", 8)
 
 
 # ---------------------------------------------------------------- folds
@@ -592,15 +596,127 @@ def image_sizes(t):
     return e.withColumn("emu", fn.points_to_emu(F.col("w")))
 
 
-@query("""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), '') AS title FROM pages""")
+#: Elements of web pages that have no content.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+def page_nodes(t) -> DataFrame:
+    return xml.node_rows(t("pages"), "html", ["page_id"], VOID, lenient=True)
+
+
+PLAIN = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, trim({PLAIN.format("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title FROM pages""")
 def html_title(t):
-    return t("pages").select("page_id", F.trim(F.regexp_extract(F.coalesce("html", F.lit("")), "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+    nodes = page_nodes(t)
+    first = nodes.where("tag = 'title'").groupBy("page_id").agg(F.min("node_id").alias("parent_id"))
+    text = nodes.where("tag = ''").join(first, ["page_id", "parent_id"]).groupBy("page_id").agg(F.min_by("text", "node_id").alias("title"))
+    return t("pages").select("page_id").join(text, "page_id", "left").select("page_id", F.trim(F.coalesce("title", F.lit(""))).alias("title"))
 
 
-@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS INT) AS paragraphs, CAST(len(regexp_extract_all(html, '(?i)<li[ >]')) AS INT) AS items, CAST(len(regexp_extract_all(html, '(?i)<b[ >]')) AS INT) AS bolds FROM pages""")
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '(?i)<li[ >]')) AS BIGINT) AS items, CAST(len(regexp_extract_all(html, '(?i)<b[ >]')) AS BIGINT) AS bolds FROM pages WHERE html <> ''""")
 def html_counts(t):
-    count = lambda tag: F.regexp_count("html", F.lit(f"(?i)<{tag}[ >]"))
-    return t("pages").select("page_id", count("p").alias("paragraphs"), count("li").alias("items"), count("b").alias("bolds"))
+    count = lambda tag: F.count(F.when(F.col("tag") == tag, 1))
+    return page_nodes(t).groupBy("page_id").agg(count("p").alias("paragraphs"), count("li").alias("items"), count("b").alias("bolds"))
+
+
+@query(f"""SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)[^<>]*>', 1))) AS tag FROM pages) GROUP BY ALL""")
+def html_nodes(t):
+    """How many elements of each kind a page has."""
+    return page_nodes(t).where("tag <> ''").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+$', '')) AS text_md5 FROM documents WHERE regexp_matches(text, '[^ \t\n\x0B\f\r]')""")
+def docx_roundtrip(t):
+    """Documents to packages and back: a paragraph for each line, blank ones at the end go."""
+    line = F.struct(F.col("line").alias("text"), F.lit(False).alias("bold"), (F.col("line_no") % 7 == 0).alias("italic"), F.lit("").alias("color"), F.lit("").alias("font"))
+    d = t("documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    fixed = {"part": "body", "kind": "paragraph", "style": "Normal", "alignment": "Default"}
+    blocks = d.select(
+        "doc_id", F.array("line_no").alias("path"), *[F.lit(v).alias(k) for k, v in fixed.items()], F.array(line).alias("runs"), F.struct(F.lit("None").alias("kind"), F.lit(0).alias("level"), F.lit(0).alias("num_id")).alias("list"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(ooxml.BLOCK) if f.name in ("widths", "cells", "image")],
+    )
+    back = ooxml.blocks(docx.packages(blocks)).where("error IS NULL AND part = 'body'")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", fn.run_text(F.col("runs")).alias("text")))), lambda x: x["text"]), "\n")
+    whole = back.groupBy("doc_id").agg(text.alias("text")).where(~fn.blank("text"))
+    return whole.select("doc_id", F.md5(F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+$", "")).alias("text_md5"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 2 THEN 0 ELSE CAST(event_id % 4000 + 1 AS INT) END AS px_w, CASE event_id % 3 WHEN 2 THEN 0 ELSE CAST(event_id % 3000 + 1 AS INT) END AS px_h FROM events""")
+def picture_sizes(t):
+    """Pixel sizes from the headers of pictures: PNG, JPEG, and what is neither."""
+    k = F.col("event_id")
+    word = lambda c, n: F.lpad(F.hex(c), n, "0")
+    w, h = k % 4000 + 1, k % 3000 + 1
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(w, 8), word(h, 8), F.lit("0806000000" + "00000000" + "0000000149444154" + "00" + "00000000"))
+    jpeg = F.concat(F.lit("FFD8FFE00004" + "0000" + "FFC0001108"), word(h, 4), word(w, 4), F.lit("03012200021101031101FFD9"))
+    data = F.unhex(F.when(k % 3 == 0, png).when(k % 3 == 1, jpeg).otherwise(F.concat(F.lit("0000"), png)))
+    return images.probed(t("events").select("event_id", data.alias("content")), "content", ["event_id"])
+
+
+#: Grids of rules: page p has p % 3 + 2 rows of 20 points and p % 4 + 2 columns of 50; where p is even, the first two cells of the top row are one.
+@query("""WITH p AS (SELECT DISTINCT event_id // 40 AS page FROM events), g AS (SELECT page, unnest(range(0, page % 3 + 2)) AS r, page % 4 + 2 AS cols FROM p), c AS (SELECT page, r, unnest(range(0, cols)) AS c FROM g)
+    SELECT page, CAST(r AS INT) AS r, CAST(c AS INT) AS c, 1 AS row_span, CASE WHEN page % 2 = 0 AND r = 0 AND c = 0 THEN 2 ELSE 1 END AS col_span, CAST(c * 50 AS DOUBLE) AS "left", CAST(r * 20 AS DOUBLE) AS top
+    FROM c WHERE NOT (page % 2 = 0 AND r = 0 AND c = 1)""")
+def grid_cells(t):
+    pages = t("events").select(F.expr("event_id DIV 40").alias("page")).distinct()
+    rows, cols = F.col("page") % 3 + 2, F.col("page") % 4 + 2
+    across = pages.select("page", F.explode(F.sequence(F.lit(0).cast("long"), rows)).alias("k"), F.lit(True).alias("horizontal"), F.lit(0.0).alias("a"), (cols * 50).cast("double").alias("b"), F.lit(20.0).alias("step"))
+    short = F.when((F.col("page") % 2 == 0) & (F.col("k") == 1), 20.0).otherwise(0.0)
+    down = pages.select("page", F.explode(F.sequence(F.lit(0).cast("long"), cols)).alias("k"), F.lit(False).alias("horizontal"), (rows * 20).cast("double").alias("b")).withColumns({"a": short, "step": F.lit(50.0)})
+    rules = across.unionByName(down).select("page", F.lit(0).cast("long").alias("component"), "horizontal", (F.col("k") * F.col("step")).alias("pos"), "a", "b")
+    return folds.ruled_grids(rules, ["page"]).select("page", "r", "c", "row_span", "col_span", "left", "top")
+
+
+@query("""SELECT p_partkey, m[1] AS size, m[2] = 1 AS bold, m[3] AS leading, CASE WHEN style IN ('Title', 'Heading1', 'Heading2', 'Heading3') THEN style ELSE '' END AS style_id,
+    CASE p_size % 5 WHEN 0 THEN 'center' WHEN 1 THEN 'right' WHEN 2 THEN 'both' WHEN 3 THEN 'left' ELSE '' END AS jc, CAST(trunc(p_size * 0.75 * 20) AS BIGINT) AS twips
+    FROM (SELECT *, CASE style WHEN 'Title' THEN [24.0, 1, 1.25] WHEN 'Heading1' THEN [18.0, 1, 1.28] WHEN 'Heading2' THEN [15.0, 1, 1.30] WHEN 'Heading3' THEN [13.0, 1, 1.32] ELSE [11.0, 0, 1.42] END::DOUBLE[] AS m
+    FROM (SELECT p_partkey, p_size, list_extract(['Title', 'Heading1', 'Heading2', 'Heading3', 'Normal'], CAST(p_partkey % 5 + 1 AS INT)) AS style FROM part))""")
+def paragraph_attributes(t):
+    """What a paragraph's style and alignment come to."""
+    pick = lambda k, *values: F.get(F.array(*[F.lit(v) for v in values]), k.cast("int"))
+    style = pick(F.col("p_partkey") % 5, "Title", "Heading1", "Heading2", "Heading3", "Normal")
+    m = fn.style_metrics(style)
+    jc = fn.alignment_value(pick(F.col("p_size") % 5, "Center", "Right", "Justify", "Left", "Default"))
+    return t("part").select("p_partkey", m["size"].alias("size"), m["bold"].alias("bold"), m["leading"].alias("leading"), fn.style_id(style).alias("style_id"), jc.alias("jc"), fn.points_to_twips(F.col("p_size") * 0.75).alias("twips"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'word/media/image' || event_id || '.png' WHEN 1 THEN 'media/a' || event_id || '.jpeg' ELSE 'word/x.gif' END AS part,
+    CASE event_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'gif' ELSE '' END AS extension, printf('%04X', CAST(event_id % 65536 AS INT)) AS code, 'DejaVuSans-' || event_id || '+x' AS font, 'a.b/doc' || event_id || '.pdf' AS output FROM events""")
+def part_names(t):
+    """Names inside packages and files."""
+    k, n = F.col("event_id"), F.col("event_id").cast("string")
+    target = F.when(k % 3 == 0, F.concat(F.lit("media/image"), n, F.lit(".png"))).when(k % 3 == 1, F.concat(F.lit("../media/a"), n, F.lit(".jpeg"))).otherwise("/word/x.gif")
+    mime = F.get(F.array(F.lit("image/png"), F.lit("image/jpeg"), F.lit("image/gif"), F.lit("image/tiff")), (k % 4).cast("int"))
+    return t("events").select(
+        "event_id", fn.part_path(target).alias("part"), fn.extension_for(mime).alias("extension"), fn.hex4(k % 65536).alias("code"), fn.pdf_name(F.concat(F.lit("Déja Vu/Sans-"), n, F.lit("+x"))).alias("font0"),
+        fn.swap_extension(F.concat(F.lit("a.b/doc"), n, F.lit(".docx")), ".pdf").alias("output"),
+    ).withColumn("font", F.replace("font0", F.lit("Dja"), F.lit("Deja"))).drop("font0")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'x' || event_id WHEN 1 THEN chr(9) WHEN 2 THEN ' ' WHEN 3 THEN '-' END AS content, event_id % 5 NOT IN (1, 2, 3) AS flag, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE round((event_id % 256) / 255.0::DOUBLE, 9) END AS green FROM events""")
+def run_contents(t):
+    """What elements of a run, on/off attributes and colours stand for."""
+    k = F.col("event_id")
+    pick = lambda c, *values: F.get(F.array(*[F.lit(v) for v in values]), c.cast("int"))
+    tag = pick(k % 6, "w:t", "w:tab", "w:br", "w:noBreakHyphen", "w:drawing", "w:rPr")
+    color = F.when(k % 7 == 0, "12345").otherwise(F.concat(F.lit("10"), F.lpad(F.hex(k % 256), 2, "0"), F.lit("FF")))
+    flag = fn.flag_on(pick(k % 5, None, "0", "false", "off", "1"))
+    return t("events").select("event_id", fn.content_text(tag, F.concat(F.lit("x"), k.cast("string"))).alias("content"), flag.alias("flag"), F.round(fn.hex_component(color, 1), 9).alias("green"))
+
+
+@query(f"""WITH {LINES_SQL}, m AS (SELECT doc_id, line_no, line, line_no % 3 AS k FROM l1)
+    SELECT doc_id, CAST(line_no AS INT) AS line_no, CASE k WHEN 0 THEN 'Bullet' WHEN 1 THEN 'Numbered' ELSE 'None' END AS kind, CASE k WHEN 1 THEN CAST(line_no % 900 + 1 AS INT) ELSE 0 END AS ordinal,
+    md5(CASE k WHEN 0 THEN regexp_replace(line, '^[ \t\n\x0B\f\r]+', '') WHEN 1 THEN 'x' || line ELSE 'x. ' || line END) AS rest FROM m""")
+def run_marker_strip(t):
+    """List markers of paragraphs in runs: a bullet in a run of its own, a number before text, and neither."""
+    k, line = F.col("line_no") % 3, F.col("line")
+    run = lambda text, bold: F.struct(text.alias("text"), F.lit(bold).alias("bold"))
+    lone = F.array(run(F.lit(" • "), True), run(F.concat(F.lit("  "), line), False))
+    number = F.array(run(F.concat((F.col("line_no") % 900 + 1).cast("string"), F.lit(") x")), True), run(line, False))
+    m = fn.strip_run_marker(F.when(k == 0, lone).when(k == 1, number).otherwise(F.array(run(F.lit("x. "), False), run(line, False))))
+    return source_lines(t).select("doc_id", "line_no", m["kind"].alias("kind"), m["ordinal"].alias("ordinal"), F.md5(fn.run_text(m["runs"])).alias("rest"))
 
 
 @query(f"""WITH RECURSIVE {LINES_SQL}, a AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN line || '-' ELSE line END AS line FROM l1),

@@ -102,3 +102,13 @@ def advances(texts: DataFrame, cmap: DataFrame, widths: DataFrame, key: list[str
     mapped = chars.join(F.broadcast(cmap), "char", "left").withColumn("glyph", F.coalesce("glyph", F.lit(0)))
     wide = mapped.join(F.broadcast(widths), "glyph", "left").withColumn("advance", F.coalesce("advance", F.lit(0.5)))
     return wide.groupBy(*key).agg(F.sum(F.col("advance") * F.col(size)).alias("width"))
+
+
+def reachable(roots: DataFrame, parts: DataFrame, own: list[str], node: str, part: str, depth: int) -> DataFrame:
+    """What roots are made of, over at most so many steps: own, node, each once, the roots included. roots: own, node; parts: node, part."""
+    steps = parts.select(F.col(node).alias("step from"), F.col(part).alias("step to"))
+    found = newest = roots.select(*own, node).distinct()
+    for _ in range(depth):
+        newest = newest.join(steps, F.col(node) == F.col("step from")).select(*own, F.col("step to").alias(node)).distinct()
+        found = found.union(newest)
+    return found.distinct()
