@@ -321,6 +321,19 @@ def ocr_paragraphs(t):
     return windows.blank_separated(lines, ["doc_id"], ["line_no"], "line").select("doc_id", "line_no", "para_no")
 
 
+@query(f"""WITH {LINES_SQL}, a AS (SELECT doc_id, line_no, regexp_replace(CASE line_no % 4 WHEN 0 THEN line || '-' WHEN 1 THEN chr(9) || ' ' || line WHEN 2 THEN line || chr(13) ELSE CASE WHEN line_no % 8 = 3 THEN ' ' ELSE line END END, '\r+$', '') AS x FROM l1),
+    b AS (SELECT doc_id, line_no, regexp_replace(x, '^[ \t]+', '') AS x, regexp_full_match(x, '[ \t\n\x0B\f\r]*') AS e FROM a),
+    g AS (SELECT *, sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS blanks FROM b),
+    p AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY blanks) - 1 AS para_no, line_no, x FROM g WHERE NOT e)
+    SELECT doc_id, CAST(para_no AS BIGINT) AS para_no, md5(list_reduce(list(x ORDER BY line_no), lambda s, t: CASE WHEN strlen(s) > 1 AND s LIKE '%-' THEN s || t ELSE s || ' ' || t END)) AS text_md5 FROM p GROUP BY ALL""")
+def ocr_text(t):
+    """Recognised lines cleaned and joined to paragraphs."""
+    k, line = F.col("line_no") % 4, F.col("line")
+    raw = F.when(k == 0, F.concat(line, F.lit("-"))).when(k == 1, F.concat(F.lit("\t "), line)).when(k == 2, F.concat(line, F.lit("\r"))).when(F.col("line_no") % 8 == 3, " ").otherwise(line)
+    paras = windows.recognized_paragraphs(source_lines(t).select("doc_id", "line_no", raw.alias("line")), ["doc_id"], "line_no", "line")
+    return paras.select("doc_id", "para_no", F.md5("text").alias("text_md5"))
+
+
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, max(CASE WHEN turn % 3 <> 0 THEN turn END) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE turn <= m")
 def trim_trailing(t):
     return windows.trim_trailing(t("conversations"), ["conv_id"], "turn", F.col("turn") % 3 != 0).select("conv_id", "turn")

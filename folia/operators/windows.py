@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.functions import continues_paragraph
+from folia.functions import continues_paragraph, join_lines
 from folia.plans.settle import settle
 
 
@@ -120,6 +120,15 @@ def blank_separated(df: DataFrame, part: list[str], order: list[str], text: str,
     return islands(out, part, order, lambda prev: F.col("blanks") != prev("blanks"), to).drop("blanks")
 
 
+def recognized_paragraphs(df: DataFrame, part: list[str], order: str, text: str) -> DataFrame:
+    """Recognised lines to paragraphs: part, para_no, text. Blank lines part them, spaces and tabs before a line and returns after it go, and a
+    space joins lines unless what stands so far ends in a hyphen."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"\r+$", ""), r"^[ \t]+", "")
+    numbered = blank_separated(df.withColumn(text, clean), part, [order], text)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("line text")))), lambda x: x["line text"])
+    return numbered.groupBy(*part, "para_no").agg(join_lines(lines).alias("text"))
+
+
 def trim_trailing(df: DataFrame, part: list[str], order: str, keep: Column) -> DataFrame:
     """Drops rows after the last that keep holds for."""
     last = F.max(F.when(keep, F.col(order))).over(Window.partitionBy(*part))

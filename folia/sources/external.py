@@ -40,24 +40,28 @@ def available(program: str) -> bool:
     return shutil.which(program) is not None
 
 
-def dump_pdf(content: bytes | None, programs: dict[str, str] | None = None) -> tuple[str, str, list[str]]:
-    """status, layout dump, and a drawing for each page ('' where there is none). Statuses: ok, no program, failed, NO_TEXT_EXTRACTED."""
+PICTURES = (".png", ".jpg", ".jpeg")
+
+
+def dump_pdf(content: bytes | None, programs: dict[str, str] | None = None) -> tuple[str, str, list[str], list[dict]]:
+    """status, layout dump, a drawing for each page ('' where there is none), and the pictures that the dump names. Statuses: ok, no program, failed, NO_TEXT_EXTRACTED."""
     tool = {"dump": "pdftohtml", "draw": "pdftocairo"} | (programs or {})
     if not available(tool["dump"]):
-        return "no program", "", []
+        return "no program", "", [], []
     with tempfile.TemporaryDirectory(prefix="folia-pdf-") as folder:
         source = Path(folder, "in.pdf")
         source.write_bytes(content or b"")
         done = run([tool["dump"], "-xml", "-zoom", "1", "-nodrm", str(source), str(Path(folder, "out"))], folder)
         dump = Path(folder, "out.xml").read_text("utf-8", "replace") if Path(folder, "out.xml").is_file() else ""
         if done.code and not dump:
-            return "failed", "", []
+            return "failed", "", [], []
         drawings = []
         for n in range(1, dump.count("<page ") + 1):
             target = Path(folder, f"page{n}.svg")
             drawn = run([tool["draw"], "-svg", "-f", str(n), "-l", str(n), str(source), str(target)], folder) if available(tool["draw"]) else Result(127, b"")
             drawings.append(target.read_text("utf-8", "replace") if not drawn.code and target.is_file() else "")
-        return ("ok" if "<text " in dump else NO_TEXT), dump, drawings
+        pictures = [{"name": f.name, "bytes": f.read_bytes()} for f in sorted(Path(folder).iterdir()) if f.suffix.lower() in PICTURES]
+        return ("ok" if "<text " in dump else NO_TEXT), dump, drawings, pictures
 
 
 def recognize(content: bytes | None, languages: tuple[str, ...] = ("hun+eng", "hun", "eng")) -> tuple[str, list[str]]:
@@ -80,13 +84,14 @@ def recognize(content: bytes | None, languages: tuple[str, ...] = ("hun+eng", "h
 
 
 def dumps(files: DataFrame, content: str = "content", doc: str = "doc_id") -> DataFrame:
-    """doc, status, xml, drawings of PDFs: what the layout source reads."""
-    schema = T.StructType([files.schema[doc], *T._parse_datatype_string("status string, xml string, drawings array<string>").fields])
+    """doc, status, xml, drawings, media (pictures by name) of PDFs: what the layout source reads."""
+    schema = T.StructType([files.schema[doc], *T._parse_datatype_string("status string, xml string, drawings array<string>, media array<struct<name:string,bytes:binary>>").fields])
+    kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("name", pa.string()), ("bytes", pa.binary())])))
 
     def each(batches):
         for b in batches:
             rows = [dump_pdf(x) for x in b.column(content).to_pylist()]
-            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.list_(pa.string())))]
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(doc), *made], names=schema.names)
 
     return files.select(doc, content).mapInArrow(each, schema)
