@@ -159,6 +159,10 @@ def code_lengths(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return below.select("gram", (value / ln10).alias("value"))
 
 
+#: What a row counts for in a bucket besides its text.
+ROW_BYTES = 64
+
+
 def _score(docs: pa.Table, model: pa.Table, order: int, n_train: int, n_words: int) -> pa.Table:
     """Scores of one bucket's documents by the part of the model that they need."""
     import pyarrow.compute as pc
@@ -208,9 +212,9 @@ def ppm_scores(docs: DataFrame, held_out, text: str = "text", id_col: str = "doc
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (~F.coalesce(held_out, F.lit(True))).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    size = source.agg(F.sum(F.octet_length("text")).alias("b"), F.sum(F.col("train").cast("long")).alias("t")).first()
+    size = source.agg(F.sum(F.octet_length("text").cast("long") + ROW_BYTES).alias("b"), F.sum(F.col("train").cast("long")).alias("t")).first()
     buckets = max(1, -(-(size["b"] or 0) // bucket_bytes))
-    dealt = source.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)).cast("int"))
+    dealt = source.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
 
     def count(table: pa.Table) -> pa.Table:
         return _count(table, order)
