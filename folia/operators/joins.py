@@ -17,10 +17,11 @@ def numbering(items: DataFrame, nums: DataFrame, levels: DataFrame, doc: list[st
 def nearest(points: DataFrame, anchors: DataFrame, part: list[str], at: str, position: str, index: str, tolerance: float = 14.0) -> DataFrame:
     """Adds the index of the nearest anchor within the tolerance, the last of equals; null if there is none. Columns of points must be a key together.
 
-    Where there is no part, anchors must be few: they are a dimension.
+    Positions meet in bins as wide as the tolerance, so the join is on equality and linear however many anchors there are.
     """
-    near = F.abs(F.col(position) - F.col(at)) <= tolerance
-    joined = points.join(anchors, part, "left").where(near) if part else points.join(F.broadcast(anchors), near)
+    bin_of = lambda c: F.floor(F.col(c) / tolerance)
+    filed = anchors.withColumn("anchor bin", F.explode(F.sequence(bin_of(position) - 1, bin_of(position) + 1)))
+    joined = points.withColumn("anchor bin", bin_of(at)).join(filed, [*part, "anchor bin"]).where(F.abs(F.col(position) - F.col(at)) <= tolerance)
     best = joined.groupBy(*points.columns).agg(F.min_by(F.col(index), F.struct(F.abs(F.col(position) - F.col(at)), -F.col(index))).alias(index))
     return points.join(best, points.columns, "left")
 
@@ -71,10 +72,11 @@ def without(lines: DataFrame, consumed: DataFrame, keys: list[str]) -> DataFrame
 
 
 def spans_without(spans: DataFrame, consumed: DataFrame, part: list[str], first: str = "first", last: str = "last", line: str = "line_no") -> DataFrame:
-    """Line intervals that hold no consumed line."""
-    c = consumed.select(*[F.col(p).alias(f"c {p}") for p in part], F.col(line).alias("c line"))
-    cond = [F.col(p) == F.col(f"c {p}") for p in part] + [F.col("c line").between(F.col(first), F.col(last))]
-    return spans.join(c, cond, "left_anti")
+    """Line intervals that hold no consumed line: an interval is as many lines, and these join on equality."""
+    own = [*part, first, last]
+    lines = spans.select(*own).distinct().withColumn(line, F.explode(F.when(F.col(first) <= F.col(last), F.sequence(F.col(first).cast("long"), F.col(last).cast("long")))))
+    taken = consumed.select(*part, F.col(line).cast("long").alias(line)).distinct()
+    return spans.join(lines.join(taken, [*part, line], "left_semi").select(*own).distinct(), own, "left_anti")
 
 
 def interleave(blocks: DataFrame, images: DataFrame, part: list[str], block: str = "block_no", image: str = "image_no") -> DataFrame:
