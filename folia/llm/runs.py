@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Runs that a worker keeps at a time, the characters of the longest that is kept, and their ids together.
-MOST, LONGEST, MOST_IDS = 1_000_000, 64, 8_000_000
+MOST, LONGEST, MOST_IDS = 500_000, 64, 4_000_000
 
 
 class RunCache:
