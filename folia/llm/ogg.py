@@ -1,8 +1,8 @@
 """Media columns: Ogg files as binary columns.
 
-Writing lays a payload down as a logical stream of 8-bit samples beside a stream of metadata; reading verifies every
-page's checksum, splits the pages by serial number, puts packets together again from the lacing values (also over page
-ends) and derives times from granule positions.
+Writing lays a payload down as a logical stream of 8-bit samples with a stream of metadata between its pages; reading verifies
+every page's checksum, splits the pages by serial number, puts packets together again from the lacing values (also over page
+ends) and derives each packet's time from the granule positions of the pages.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ RATE = 8000  # samples a second
 DATA, META = 0x5350434D, 0x4D455441  # serial numbers of the two streams
 PAGE = struct.Struct("<4sBBqIIIB")
 MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+MARK_EVERY = 16  # pages of samples after which the metadata say where they stand
 MORE, FIRST, LAST = 1, 2, 4  # header type: begins inside a packet, begins a stream, ends it
 
 
@@ -66,18 +67,26 @@ def encode(payload: bytes, n_bytes: int, rate: int = RATE) -> bytes:
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
     header = struct.pack("<8sBIBH", b"FoliaPCM", 1, rate, 8, FRAME)
     about = b"n_bytes=%d" % n_bytes
-    # the header pages of all streams come first; neither ends its stream
-    out = [page(DATA, 0, FIRST, 0, lace(len(header)), header), page(META, 0, FIRST, 0, lace(8), b"FoliaTag"), page(META, 1, LAST, 0, lace(len(about)), about)]
-    out += pages_of(DATA, frames, [min(len(payload), FRAME * (i + 1)) for i in range(len(frames))], 1)
+    # the header pages of all streams come first; after them the streams' pages alternate
+    out = [page(DATA, 0, FIRST, 0, lace(len(header)), header), page(META, 0, FIRST, 0, lace(8), b"FoliaTag"), page(META, 1, 0, 0, lace(len(about)), about)]
+    number = 2
+    for k, samples in enumerate(pages_of(DATA, frames, [min(len(payload), FRAME * (i + 1)) for i in range(len(frames))], 1), 1):
+        out.append(samples)
+        if k % MARK_EVERY == 0:
+            note = b"pages=%d" % k
+            out.append(page(META, number, 0, number, lace(len(note)), note))
+            number += 1
+    out.append(page(META, number, LAST, number, lace(3), b"end"))
     return b"".join(out)
 
 
 @dataclass
 class Stream:
-    """One logical stream: its whole packets, the granule position of each page that ends one, and the bytes of a packet that goes on."""
+    """One logical stream: its whole packets, the granule position of each page that ends one and how many had ended with it, and the bytes of a packet that goes on."""
 
     packets: list[bytes] = field(default_factory=list)
     granules: list[int] = field(default_factory=list)
+    done: list[int] = field(default_factory=list)
     pages: int = 0
     open: list[bytes] = field(default_factory=list)
     ended: bool = False
@@ -130,6 +139,7 @@ def demultiplex(media: bytes) -> tuple[dict[int, Stream], list[str]]:
             s.open.append(media[p : p + run])
         if granule >= 0:
             s.granules.append(granule)
+            s.done.append(len(s.packets))
         s.pages, s.ended = number + 1, s.ended or bool(kind & LAST)
         at = end
     if any(not s.ended or s.open for s in streams.values()):
@@ -137,8 +147,24 @@ def demultiplex(media: bytes) -> tuple[dict[int, Stream], list[str]]:
     return streams, list(dict.fromkeys(wrong))
 
 
+def starts(s: Stream, headers: int = 1) -> np.ndarray:
+    """Where each packet after the headers begins, in samples: a page's granule position is the end of the last packet that ends in it, and those before end where the next begins."""
+    sizes = np.array([0 if k < headers else len(p) for k, p in enumerate(s.packets)], np.int64)
+    ends = np.cumsum(sizes)
+    done, granules = np.array(s.done, np.int64), np.array(s.granules, np.int64)
+    page = np.searchsorted(done, np.arange(len(sizes)), side="right")
+    known = page < len(done)
+    shift = np.where(known, granules[np.minimum(page, len(done) - 1)] - ends[np.maximum(done[np.minimum(page, len(done) - 1)] - 1, 0)], 0) if len(done) else np.zeros(len(sizes), np.int64)
+    return (ends - sizes + shift)[headers:]
+
+
 def decode(media: bytes | None) -> tuple[bytes, int, int, int, float, str]:
     """Payload, unpadded size, pages and packets of the data stream, seconds by the last granule position, faults ('' if none)."""
+    return decoded(media)[:6]
+
+
+def decoded(media: bytes | None) -> tuple[bytes, int, int, int, float, str, np.ndarray]:
+    """As decode(), and when each packet begins, in seconds."""
     streams, wrong = demultiplex(media or b"")
     data, meta = streams.get(DATA, Stream()), streams.get(META, Stream())
     head = data.packets[0] if data.packets else b""
@@ -149,7 +175,10 @@ def decode(media: bytes | None) -> tuple[bytes, int, int, int, float, str]:
     payload = b"".join(data.packets[1:])
     if data.granules and data.granules[-1] != len(payload):
         wrong.append("granule")
-    return payload, size, data.pages, max(0, len(data.packets) - 1), data.granules[-1] / rate if rate and data.granules else 0.0, ",".join(wrong)
+    at = starts(data) if rate else np.zeros(0, np.int64)
+    if len(at) and (at[0] or (np.diff(at) != [len(p) for p in data.packets[1:-1]]).any()):
+        wrong.append("time")
+    return payload, size, data.pages, max(0, len(data.packets) - 1), data.granules[-1] / rate if rate and data.granules else 0.0, ",".join(wrong), at / max(rate, 1)
 
 
 def _by_bytes(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -189,7 +218,7 @@ def text_media(df: DataFrame, text: str = "text", to: str = "media") -> DataFram
 def media_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Reads each Ogg file back and describes it.
 
-    n_bytes is -1 where the file doesn't say; feature holds duration in ms, pages, packets, mean, RMS and zero crossings of the
+    n_bytes is -1 where the file doesn't say; feature holds duration and the last packet's time in ms, pages, packets, mean, RMS and zero crossings of the
     samples around 128, and faults. Null or damaged files give what could be read and name the faults; nothing is dropped.
     """
     session(df)
@@ -202,7 +231,7 @@ def media_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] =
             rows = []
             for x in b.column(media):
                 raw = x.as_py() or b""
-                payload, size, pages, packets, seconds, wrong = decode(raw)
+                payload, size, pages, packets, seconds, wrong, times = decoded(raw)
                 if payload:
                     v = np.frombuffer(payload, np.uint8)
                     mean = float(v.mean(dtype=np.float64))
@@ -212,7 +241,7 @@ def media_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] =
                 else:
                     mean = rms = 0.0
                     cross = 0
-                feature = f"ms={seconds * 1000:.0f};pages={pages};packets={packets};mean={mean:.3f};rms={rms:.2f};zc={cross};faults={wrong}"
+                feature = f"ms={seconds * 1000:.0f};last={times[-1] * 1000 if len(times) else 0:.0f};pages={pages};packets={packets};mean={mean:.3f};rms={rms:.2f};zc={cross};faults={wrong}"
                 rows.append((size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -71,6 +71,20 @@ def test_ogg_packets_go_on_over_pages():
     assert streams[9].packets == packets and wrong == []
 
 
+def test_ogg_times_and_streams():
+    """Each packet's time, and streams whose pages alternate."""
+    media = ogg.encode(b"q" * 576 * 1500, 5)
+    serials, at = [], 0
+    while at < len(media):
+        n = media[at + 26]
+        serials.append(int.from_bytes(media[at + 14 : at + 18], "little"))
+        at += 27 + n + sum(media[at + 27 : at + 27 + n])
+    assert sum(a != b for a, b in zip(serials, serials[1:], strict=False)) > 3 and serials[-1] == ogg.META
+    streams, wrong = ogg.demultiplex(media)
+    assert wrong == [] and streams[ogg.META].packets[1:] == [b"n_bytes=5", b"pages=16", b"end"]
+    assert ogg.decoded(media)[6].tolist() == [576 * k / ogg.RATE for k in range(1500)]
+
+
 def test_ogg_damage_is_named():
     media = bytearray(ogg.encode(b"z" * 576 * 200, 5))
     media[-100] ^= 1
