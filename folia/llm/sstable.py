@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, session, shared_dir
@@ -350,15 +350,17 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, text: str = "text
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Documents from the shards' files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of the little-endian 32-bit ids.
 
-    Only the manifest's sizes, one row a shard, are summed on the driver; each shard is read by a task of its own.
+    The driver sees one row of sums for each range partition that was written; each shard is read by a task of its own.
     """
     spark = session(manifest)
-    shards = manifest.orderBy("part", "number").select("path", "tokens").collect()
-    rows, start = [], 0
-    for s in shards:
-        rows.append((s["path"], start))
-        start += s["tokens"]
-    frame = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
+    before, start, shards = [], 0, 0
+    for r in manifest.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("shards")).orderBy("part").collect():
+        before.append((r["part"], start))
+        start, shards = start + r["tokens"], shards + r["shards"]
+    own = F.sum("tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    parts = spark.createDataFrame(before, "part int, before long")
+    frame = manifest.withColumn("own", F.coalesce(own, F.lit(0))).join(F.broadcast(parts), "part")
+    frame = frame.select("path", (F.col("before") + F.col("own")).alias("start")).repartition(max(1, shards))
 
     def run(batches):
         for b in batches:
