@@ -16,7 +16,7 @@ from folia import functions as fn
 from folia.operators import aggregates, folds, joins, windows
 from folia.plans.settle import settle
 from folia.sinks import docx
-from folia.sources import images, ooxml, xml
+from folia.sources import images, layout, ooxml, xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -668,6 +668,47 @@ def picture_sizes(t):
     return images.probed(t("events").select("event_id", data.alias("content")), "content", ["event_id"])
 
 
+@query("""SELECT event_id, 'DeviceGray' AS space, 2 AS px_w, 1 AS px_h, printf('%02X%02X', CAST(event_id % 256 AS INT), CAST(event_id * 7 % 256 AS INT)) AS pixels FROM events WHERE event_id % 4 <> 3""")
+def png_pixels(t):
+    """Samples of small grey PNG files, whose data are one stored block; every fourth file is cut and gives none."""
+    k = F.col("event_id")
+    p, q = k % 256, k * 7 % 256
+    word = lambda c, n: F.lpad(F.hex(c), n, "0")
+    block = F.concat(F.lit("7801" + "01" + "0300" + "FCFF" + "00"), word(p, 2), word(q, 2), word(3 + 2 * p + q, 4), word(1 + p + q, 4))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452" + "00000002" + "00000001" + "0800000000" + "00000000" + "0000000E49444154"), block, F.lit("00000000" + "0000000049454E4400000000"))
+    files = t("events").select("event_id", F.unhex(F.when(k % 4 == 3, F.substring(png, 1, 90)).otherwise(png)).alias("content"))
+    return images.decoded(files, "content", ["event_id"]).where("space IS NOT NULL").select("event_id", "space", "px_w", "px_h", F.hex("pixels").alias("pixels"))
+
+
+@query("""SELECT event_id, event_id % 3 = 0 AS horizontal, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 1 THEN 800 - y ELSE y END ELSE x END AS pos,
+    CASE WHEN event_id % 3 = 0 THEN x WHEN event_id % 2 = 1 THEN 800 - y - 20 ELSE y END AS a, CASE WHEN event_id % 3 = 0 THEN x + 10 WHEN event_id % 2 = 1 THEN 800 - y ELSE y + 20 END AS b, '00' || printf('%02X', CAST(round(50 * 2.55::DOUBLE) AS INT)) || 'FF' AS color
+    FROM (SELECT event_id, CAST(event_id % 500 AS DOUBLE) AS x, CAST(event_id % 700 AS DOUBLE) AS y FROM events) WHERE event_id % 3 < 2""")
+def svg_rules(t):
+    """Straight strokes of drawings, upward or downward; diagonal ones are none."""
+    k = F.col("event_id")
+    x, y = k % 500, k % 700
+    to_x, to_y = x + F.when(k % 3 == 1, 0).otherwise(10), y + F.when(k % 3 == 0, 0).otherwise(20)
+    d = F.concat_ws(" ", F.lit("M"), x, y, F.lit("L"), to_x, to_y)
+    turned = F.when(k % 2 == 1, ' transform="matrix(1,0,0,-1,0,800)"').otherwise("")
+    svg = F.concat(F.lit('<svg><defs><path d="M 0 0 L 9 0" stroke="rgb(1%,1%,1%)"/></defs><path fill="none" stroke="rgb(0%, 50%, 100%)" d="'), d, F.lit('"'), turned, F.lit("/></svg>"))
+    drawn = layout.vectors(t("events").select("event_id", svg.alias("svg"), F.lit(800.0).alias("h")), "svg", "h", ["event_id"])
+    return layout.rules(drawn, ["event_id"]).drop("seg_no")
+
+
+@query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS frag_no, CASE turn % 3 WHEN 0 THEN 12.0 WHEN 1 THEN 18.5 ELSE 11.0 END AS size, CASE turn % 3 WHEN 0 THEN 'C0392B' ELSE '' END AS color,
+    CASE turn % 3 WHEN 0 THEN 'Times New Roman' ELSE '' END AS family, CAST(turn * 20 AS DOUBLE) AS top, md5(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS text_md5 FROM conversations WHERE regexp_matches(text, '[^ \t\n\x0B\f\r]')""")
+def layout_fragments(t):
+    """Positioned text of layout dumps with the fonts of its page: a conversation is a page, a turn a fragment."""
+    c = t("conversations").where(~fn.blank("text"))
+    number = lambda x: x.cast("string")
+    text = F.concat(F.lit('<text left="50" width="100" height="12" top="'), number(F.col("turn") * 20), F.lit('" font="'), number(F.col("turn") % 3), F.lit('">'), fn.escape_xml(F.col("text")), F.lit("</text>"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("x")))), lambda s: s["x"]), "")
+    fonts = '<pdf2xml><page width="595" height="842"><fontspec id="0" size="12" family="TimesNewRomanPSMT" color="#c0392b"/><fontspec id="1" size="18.5" family="sans" color="#000000"/>'
+    dumps = c.groupBy("conv_id").agg(F.concat(F.lit(fonts), lines, F.lit("</page></pdf2xml>")).alias("xml"))
+    found = layout.fragments(layout.pages(dumps, "xml", "conv_id"), "conv_id")
+    return found.select("conv_id", "frag_no", "size", "color", "family", "top", F.md5("text").alias("text_md5"))
+
+
 #: Grids of rules: page p has p % 3 + 2 rows of 20 points and p % 4 + 2 columns of 50; where p is even, the first two cells of the top row are one.
 @query("""WITH p AS (SELECT DISTINCT event_id // 40 AS page FROM events), g AS (SELECT page, unnest(range(0, page % 3 + 2)) AS r, page % 4 + 2 AS cols FROM p), c AS (SELECT page, r, unnest(range(0, cols)) AS c FROM g)
     SELECT page, CAST(r AS INT) AS r, CAST(c AS INT) AS c, 1 AS row_span, CASE WHEN page % 2 = 0 AND r = 0 AND c = 0 THEN 2 ELSE 1 END AS col_span, CAST(c * 50 AS DOUBLE) AS "left", CAST(r * 20 AS DOUBLE) AS top

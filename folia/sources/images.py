@@ -158,3 +158,18 @@ def probed(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array([s[i] for s in sizes], pa.int32()) for i in (0, 1)]], names=[*keep, "px_w", "px_h"])
 
     return df.select(*dict.fromkeys([*keep, content])).mapInArrow(run, schema)
+
+
+def decoded(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
+    """Adds space (DeviceGray or DeviceRGB), px_w, px_h and pixels (samples by row, 8 bits each) of PNG files; null for what isn't one."""
+    made = [T.StructField("space", T.StringType()), T.StructField("px_w", T.IntegerType()), T.StructField("px_h", T.IntegerType()), T.StructField("pixels", T.BinaryType())]
+    schema = T.StructType([*df.select(*keep).schema.fields, *made])
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+
+    def run(batches):
+        for b in batches:
+            found = [decode_png(x) if x else None for x in b.column(content).to_pylist()]
+            rows = [(f.space, f.width, f.height, zlib.decompress(f.data)) if f else (None,) * 4 for f in found]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=schema.names)
+
+    return df.select(*dict.fromkeys([*keep, content])).mapInArrow(run, schema)
