@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from array import array
 from collections import Counter
@@ -27,6 +28,7 @@ from .common import session
 #: The bounds on clean and toxic labelled documents that a model is fitted on, and on the tokens of a training sequence.
 SAMPLE = (3000, 1000)
 SEQUENCE = 64
+TOGETHER = 2048  # training sequences worked on at once
 ROUNDS = 40
 EDGES = ".,;:!?\"'()[]{}<>*_-/\\|"
 NONE, TOXIC = 0, 1
@@ -122,7 +124,7 @@ def _distinct(texts: list[str]) -> list[list[str]]:
     seen: set = set()
     out = []
     for text in texts:
-        words = text.split()
+        words = list(map(sys.intern, text.split()))  # a word is held once, however often it stands
         pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words)
         least = {(k, min(zlib.crc32(p.encode(), k) for p in pairs)) for k in range(3)} if pairs else set()
         if words and not least & seen:
@@ -147,13 +149,15 @@ def fit(clean: list[str], toxic: list[str]) -> Model:
     if not marked:
         return Model({"": -8.0}, np.zeros((2, 2)), (-4.0, 0.0, 0.0))
     known: dict[str, int] = {"": 0}
+    del found
     counts = Counter(f for g in groups for words in g for f in {f for w in set(words) for f in features(w)})
+    counts = Counter({f: n for f, n in counts.items() if n >= 3})
     cached: dict[str, tuple[list[int], int]] = {}
 
     def of(word: str) -> tuple[list[int], int]:
         if word not in cached:
             fs = features(word)
-            cached[word] = ([0, *(known.setdefault(f, len(known)) for f in fs if counts[f] >= 3)], int(any(f in marked for f in fs[:3])))
+            cached[word] = ([0, *(known.setdefault(f, len(known)) for f in fs if f in counts)], int(any(f in marked for f in fs[:3])))
         return cached[word]
 
     # a token's emission is its word's, so features are held once for each distinct word
@@ -174,23 +178,33 @@ def fit(clean: list[str], toxic: list[str]) -> Model:
                         numbers[w] = len(numbers)
                     tokens.append(numbers[w])
                     gold.append(y if kind == TOXIC else NONE)
-    rows, columns, tokens, gold, sizes = np.array(rows), np.array(columns), np.array(tokens), np.array(gold), np.array(sizes)
+    rows, columns, tokens, gold, sizes = np.array(rows, np.int32), np.array(columns, np.int32), np.array(tokens), np.array(gold), np.array(sizes)
+    cached.clear()
+    counts.clear()
 
-    def by_feature(values) -> np.ndarray:
-        return np.bincount(columns, np.bincount(tokens, values, len(numbers))[rows], len(known))
+    def by_feature(by_word) -> np.ndarray:
+        return np.bincount(columns, by_word[rows], len(known))
 
     last = np.cumsum(sizes) - 1
     inner = np.ones(len(gold), bool)
     inner[last] = False
     i = np.flatnonzero(inner)
     seen = np.bincount(gold[i] * 2 + gold[i + 1], minlength=4).reshape(2, 2)
-    target = by_feature(gold)
+    target = by_feature(np.bincount(tokens, gold, len(numbers)))
+    del inner, i, gold
+    # sequences side by side, so many at a time
+    parts = [(k, min(len(sizes), k + TOGETHER), int(last[k] + 1 - sizes[k]), int(last[min(len(sizes), k + TOGETHER) - 1]) + 1) for k in range(0, len(sizes), TOGETHER)]
     w, t = np.zeros(len(known)), np.zeros((2, 2))
     w[0] = -3.0
     gw, gt = np.full(len(known), 1e-6), np.full((2, 2), 1e-6)
     for _ in range(ROUNDS):  # gradient ascent with a step of its own for each weight
-        p, pairs = _expected(np.bincount(rows, w[columns], len(numbers))[tokens], sizes, t)
-        up, ut = target - by_feature(p) - 0.05 * w, (seen - pairs) - 0.05 * t
+        weight = np.bincount(rows, w[columns], len(numbers))
+        mass, pairs = np.zeros(len(numbers)), np.zeros((2, 2))
+        for first, stop, a, b in parts:
+            p, more = _expected(weight[tokens[a:b]], sizes[first:stop], t)
+            mass += np.bincount(tokens[a:b], p, len(numbers))
+            pairs += more
+        up, ut = target - by_feature(mass) - 0.05 * w, (seen - pairs) - 0.05 * t
         gw += up**2
         gt += ut**2
         w += 0.7 * up / np.sqrt(gw)
