@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, session
+from .common import drop_table, materialize, session
 
 GRAIN, BUCKETS, BUDGET = 8, 16, 1 << 16
 
@@ -97,6 +97,7 @@ def pack(docs: DataFrame, length=None, text: str = "text", id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(k), part, np.int32)), pa.array(place)], names=[*b.schema.names, "part", "place"])
 
     numbered = materialize(ordered.mapInArrow(number, "doc_id long, n_tokens long, bucket int, padded long, part int, place long"), "pack-numbered")
+    drop_table(sized)
     # rows of a bucket in earlier partitions: a bucket has a row for each partition that it reaches
     counts = numbered.groupBy("bucket", "part").agg(F.count("*").alias("n")).orderBy("bucket", "part").collect()
     before, total, last = [], 0, None
