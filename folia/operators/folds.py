@@ -1,11 +1,15 @@
 """Steps that compare a row with an anchor or a running value of its group: folds over a page's sorted rows, in the JVM.
 
-A page's rows are bounded by the page. Steps over a page's graph of rules use Arrow groups.
+A page's rows are bounded by the page. Steps over a page's graph of rules use Arrow: groups for what meets, batches of grids for cells.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,59 +122,98 @@ def components(segments: DataFrame, part: list[str], tolerance: float = 2.0, key
 
 
 GRID_SCHEMA = "r int, c int, row_span int, col_span int, left double, right double, top double, bottom double, b_top boolean, b_bottom boolean, b_left boolean, b_right boolean"
+#: Cells handed on at once.
+GRID_ROWS = 50_000
 
 
-def grid_cells(rules: pd.DataFrame, tolerance: float = 2.0, drift: float = 4.0) -> pd.DataFrame:
-    """The cells of one grid of rules (horizontal, pos, a, b): a cell spans on where no rule parts it from the next. Empty unless there are two cells."""
+def _cells(horizontal, pos, a, b, tolerance: float = 2.0, drift: float = 4.0) -> list[tuple]:
+    """Rows of GRID_SCHEMA for one grid of rules; none unless there are two cells."""
+    sides: dict[bool, list[tuple]] = {True: [], False: []}
+    for h, *rule in zip(horizontal, pos, a, b, strict=True):
+        sides[h].append(tuple(rule))
 
-    def positions(values) -> list[float]:
+    def positions(side: list[tuple]) -> list[float]:
         out: list[float] = []
-        for v in sorted(values):
+        for v in sorted(p for p, _, _ in side):
             if out and v - out[-1] <= drift:
                 out[-1] = (out[-1] + v) / 2
             else:
                 out.append(float(v))
         return out
 
-    sides = {h: rules[rules["horizontal"] == h] for h in (True, False)}
-    ys, xs = positions(sides[True]["pos"]), positions(sides[False]["pos"])
+    ys, xs = positions(sides[True]), positions(sides[False])
     n_rows, n_cols = len(ys) - 1, len(xs) - 1
-    columns = [x.split(" ")[0] for x in GRID_SCHEMA.split(", ")]
     if n_rows < 1 or n_cols < 1:
-        return pd.DataFrame(columns=columns)
-
-    def drawn(horizontal: bool, at: float, start: float, stop: float) -> bool:
-        s = sides[horizontal]
-        return bool(((s["pos"] - at).abs().le(tolerance) & s["a"].le(start + tolerance) & s["b"].ge(stop - tolerance)).any())
+        return []
+
+    def drawn(side: list[tuple], places: list[float], steps: list[float]) -> list[list[bool]]:
+        """For each place, along which steps one rule runs from end to end: of those that begin early enough, the one that reaches farthest."""
+        side = sorted(rule for rule in side if rule[0] == rule[0] and rule[1] == rule[1] and rule[2] == rule[2])
+        out = []
+        for at in places:
+            low = bisect.bisect_left(side, (at - 2 * tolerance,))
+            high = bisect.bisect_right(side, (at + 2 * tolerance,))
+            near = sorted((start, stop) for p, start, stop in side[low:high] if abs(p - at) <= tolerance)
+            starts, reach = [start for start, _ in near], list(itertools.accumulate((stop for _, stop in near), max))
+            begun = [bisect.bisect_right(starts, x + tolerance) for x in steps[:-1]]
+            out.append([k > 0 and reach[k - 1] >= x - tolerance for k, x in zip(begun, steps[1:], strict=True)])
+        return out
 
-    across = {(i, c): drawn(True, ys[i], xs[c], xs[c + 1]) for i in range(n_rows + 1) for c in range(n_cols)}
-    down = {(k, r): drawn(False, xs[k], ys[r], ys[r + 1]) for k in range(n_cols + 1) for r in range(n_rows)}
+    across, down = drawn(sides[True], ys, xs), drawn(sides[False], xs, ys)
     taken: set[tuple[int, int]] = set()
     out = []
     for r in range(n_rows):
         for c in range(n_cols):
             if (r, c) in taken:
                 continue
-            wide = next((k for k in range(c + 1, n_cols) if down[k, r]), n_cols) - c
-            high = next((i for i in range(r + 1, n_rows) if any(across[i, c + k] for k in range(wide))), n_rows) - r
-            taken |= {(r + i, c + k) for i in range(high) for k in range(wide)}
-            out.append((r, c, high, wide, xs[c], xs[c + wide], ys[r], ys[r + high], across[r, c], across[r + high, c], down[c, r], down[c + wide, r]))
-    return pd.DataFrame(out if len(out) > 1 else [], columns=columns)
+            wide = next((k for k in range(c + 1, n_cols) if down[k][r]), n_cols) - c
+            high = next((i for i in range(r + 1, n_rows) if any(across[i][c : c + wide])), n_rows) - r
+            if high > 1 or wide > 1:
+                taken.update((r + i, c + k) for i in range(high) for k in range(wide))
+            out.append((r, c, high, wide, xs[c], xs[c + wide], ys[r], ys[r + high], across[r][c], across[r + high][c], down[c][r], down[c + wide][r]))
+    return out if len(out) > 1 else []
+
+
+def grid_cells(rules: pd.DataFrame, tolerance: float = 2.0, drift: float = 4.0) -> pd.DataFrame:
+    """The cells of one grid of rules (horizontal, pos, a, b): a cell spans on where no rule parts it from the next. Empty unless there are two cells."""
+    cells = _cells(*(rules[c].tolist() for c in ("horizontal", "pos", "a", "b")), tolerance, drift)
+    return pd.DataFrame(cells, columns=[x.split(" ")[0] for x in GRID_SCHEMA.split(", ")])
 
 
 def ruled_grids(segments: DataFrame, part: list[str], grid: str = "component") -> DataFrame:
-    """Cells of every grid: components with two horizontal and two vertical rules at least. segments: grid, horizontal, pos, a, b."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.select(*part, grid).schema)
-
-    def run(rules: pd.DataFrame) -> pd.DataFrame:
-        if min(rules["horizontal"].sum(), (~rules["horizontal"]).sum()) < 2:
-            cells = grid_cells(rules.iloc[:0])
-        else:
-            cells = grid_cells(rules)
-        own = rules.iloc[0]
-        return pd.concat([pd.DataFrame({c: [own[c]] * len(cells) for c in [*part, grid]}), cells.reset_index(drop=True)], axis=1)
-
-    return segments.select(*part, grid, "horizontal", "pos", "a", "b").groupBy(*part, grid).applyInPandas(run, f"{kinds}, {GRID_SCHEMA}")
+    """Cells of every grid: components with two horizontal and two vertical rules at least. segments: grid, horizontal, pos, a, b.
+
+    Rules meet in a list for each grid, and a task takes many grids from one Arrow batch. Rules are few bytes and much work, so they
+    are dealt to all shuffle partitions, which are not joined again by size.
+    """
+    own, spark = [*part, grid], segments.sparkSession
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.select(*own).schema)
+    rule = F.struct("horizontal", *[F.col(c).cast("double").alias(c) for c in ("pos", "a", "b")])
+    dealt = segments.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *own)
+    ruled = dealt.groupBy(*own).agg(F.collect_list(rule).alias("grid rules"), F.count_if("horizontal").alias("rules across"), F.count_if(~F.col("horizontal")).alias("rules down"))
+    ruled = ruled.where((F.col("rules across") >= 2) & (F.col("rules down") >= 2)).select(*own, "grid rules")
+    names = [x.split(" ") for x in GRID_SCHEMA.split(", ")]
+    types = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("grid rules")
+            flat, ends = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            horizontal = flat.field("horizontal").to_pylist()
+            pos, a, b = (flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("pos", "a", "b"))
+            index: list[int] = []
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                s = slice(ends[i], ends[i + 1])
+                cells = _cells(horizontal[s], pos[s], a[s], b[s])
+                index += [i] * len(cells)
+                out += cells
+                if out and (len(out) >= GRID_ROWS or i == batch.num_rows - 1):
+                    columns = [pa.array(v, types[kind]) for v, (_, kind) in zip(zip(*out, strict=True), names, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(index)) for c in own), *columns], names=[*own, *(n for n, _ in names)])
+                    index, out = [], []
+
+    return ruled.mapInArrow(run, f"{kinds}, {GRID_SCHEMA}")
 
 
 def padded_rows(cells: DataFrame, part: list[str]) -> DataFrame:

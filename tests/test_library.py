@@ -113,6 +113,31 @@ def test_row_spans_and_components(spark):
     assert folds.ruled_grids(folds.components(df, ["page"]).join(df, ["page", "seg_no"]), ["page"]).count() == 0
 
 
+def test_grids_in_batches(spark):
+    """Many grids reach Python in one batch, are handed on in several, and keep their keys, null ones too."""
+    rows = []
+    for page in (None, *range(1, 3000)):
+        top = 10.0 * (page or 0)
+        rows += [(page, 7, h, p, a, b) for h, p, a, b in [(True, top, 0.0, 100.0), (True, top + 20, 0.0, 100.0), (False, 0.0, top, top + 20), (False, 50.0, top, top + 20), (False, 100.0, top, top + 20)]]
+    rows += [(5000, 7, True, 0.0, 0.0, 9.0), (5000, 7, False, 0.0, 0.0, 9.0), (5000, 7, False, 9.0, 0.0, 9.0), (5000, 7, False, 30.0, 0.0, 9.0)]  # one horizontal rule
+    df = spark.createDataFrame(rows, "page int, component long, horizontal boolean, pos double, a double, b double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    grids = folds.ruled_grids(df, ["page"])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [f.simpleString() for f in grids.schema][:3] == ["page:int", "component:bigint", "r:int"]
+    assert "FlatMapGroups" not in grids._jdf.queryExecution().executedPlan().toString()
+    got = {(g.page, g.component, g.r, g.c, g.row_span, g.col_span, g.left, g.top, g.b_left) for g in grids.collect()}
+    assert got == {(p, 7, 0, c, 1, 1, 50.0 * c, 10.0 * (p or 0), True) for p in (None, *range(1, 3000)) for c in (0, 1)}
+
+
+def test_large_grid_with_short_rules():
+    """300 by 40 cells, each edge a rule of its own, in little time; one edge is missing."""
+    edges = [(True, 20 * i, 50 * c, 50 * c + 50) for i in range(301) for c in range(40)] + [(False, 50 * k, 20 * r, 20 * r + 20) for k in range(41) for r in range(300) if (k, r) != (3, 7)]
+    g = folds.grid_cells(rules(*edges))
+    assert len(g) == 300 * 40 - 1 and g[g.col_span > 1][["r", "c", "col_span", "row_span"]].values.tolist() == [[7, 2, 2, 1]]
+
+
 def test_page_breaks(spark):
     df = spark.createDataFrame([(1, i, h) for i, h in enumerate([30.0, 30.0, 1.0, 99.0, 5.0])], "d int, no int, h double")
     assert [(r.page, r.used) for r in folds.page_breaks(df, ["d"], ["no"], "h", 60.0).orderBy("no").collect()] == [(0, 0.0), (0, 30.0), (1, 0.0), (2, 0.0), (3, 0.0)]
