@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.llm import crf, minhash, packing, suffix
-from folia.llm.common import materialize
+from folia.llm.common import marked, materialize
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: the one with the least id."""
-    removed = minhash.near_duplicates(docs, shingle=5).where(~F.col("kept")).select(F.col("doc_id").alias("removed id")).distinct().hint("merge")
-    return docs.join(removed, F.col("doc_id").cast("long") == F.col("removed id"), "left_anti")
+    removed = minhash.near_duplicates(docs, shingle=5).where(~F.col("kept")).select(F.col("doc_id").alias("removed id")).distinct()
+    own = marked(docs.withColumn("own id", F.col("doc_id").cast("long")), "own id", removed, "maybe removed")
+    # only texts that are marked are shuffled, to be held against the ids themselves
+    kept = own.where("`maybe removed`").join(removed.hint("merge"), F.col("own id") == F.col("removed id"), "left_anti")
+    return own.where("NOT `maybe removed`").unionByName(kept).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that go to a Python worker at once; bounds its memory whatever the texts' lengths.
 BATCH_BYTES = 8 << 20
+#: Bits of the map that marked() broadcasts: 2 MB, whatever the number of ids.
+PLACES = 1 << 24
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -69,6 +71,20 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def marked(df: DataFrame, value: str, ids: DataFrame, to: str) -> DataFrame:
+    """Adds whether a row's value (long) may be among ids, a frame of one column of longs: true for all that are, and for a few others.
+
+    The ids' hashes set bits of a map of bounded size, which is broadcast, so rows that can be told apart by it need no shuffle; an exact
+    join decides on those that are marked. Many more ids than PLACES mark every row, which costs that join its whole input and no result.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(PLACES))
+    word, bit = lambda c: F.shiftright(place(c), 6), lambda c: F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(`{c}`), 64) AS INT))")
+    name = ids.columns[0]
+    words = ids.groupBy(word(name).alias("place word")).agg(F.bit_or(bit(name)).alias("place bits"))
+    hit = F.coalesce(F.col("place bits").bitwiseAND(bit(value)) != 0, F.lit(False))
+    return df.join(F.broadcast(words), word(value) == F.col("place word"), "left").withColumn(to, hit).drop("place word", "place bits")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, end to end, and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

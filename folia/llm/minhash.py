@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, drop_table, materialize, session, utf8
+from .common import bucketed, drop_table, marked, materialize, session, utf8
 from .graph import components
 from .shingles import PLACE, U, mix, shingle_sets
 
@@ -93,7 +93,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, id_col: str, shingle:
             maps = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * maps.shape[1]), pa.array(maps.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), items), maps], names=["id", "n", "fp0", "fp1", "items", "map"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+    texts = marked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")), "id", wanted, "maybe").where("maybe").drop("maybe")
+    texts = texts.join(wanted, "id", "left_semi")  # only texts that are marked are shuffled
     found = texts.mapInArrow(run, "id long, n long, fp0 long, fp1 long, items array<long>, map array<long>").where("n > 0")
     return found.groupBy("id").agg(F.min(F.struct("n", "fp0", "fp1", "items", "map")).alias("x")).select("id", "x.items", "x.map")
 

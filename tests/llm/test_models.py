@@ -238,3 +238,40 @@ def test_pipeline_hard(spark):
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns and out.count() <= docs.count(), name
         assert pipeline.pack(spark, docs, SF).count() == docs.count()
+
+
+def test_marks_lose_no_id(spark):
+    from folia.llm.common import marked
+
+    rows = spark.range(-20_000, 20_000).select(F.col("id").alias("k")).union(spark.createDataFrame([(None,), (3,)], "k long"))
+    ids = spark.range(-9_000, 9_000, 9).toDF("wanted")
+    out = marked(rows, "k", ids, "maybe")
+    assert out.columns == ["k", "maybe"] and out.count() == 40_002
+    found = [r.k for r in out.where("maybe").collect()]
+    assert {k for k in found if k is not None} >= set(range(-9_000, 9_000, 9)) and len(found) < 2_200
+    assert marked(rows, "k", ids.limit(0), "maybe").where("maybe").count() == 0
+
+
+def test_near_dedup_shuffles_few_texts(spark):
+    """Texts that nothing resembles go to no exchange; all rows but later copies stay, those without an id or text too."""
+    import corpus_pipeline as pipeline
+
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    rows = [(k, words(k)) for k in range(400)] + [(1000, words(7)), (1001, words(7)), (None, words(8)), (None, None), (1002, ""), (5, words(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).localCheckpoint()
+    kept = pipeline.near_dedup(spark, docs, SF)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[0] not in (1000, 1001)), key=str)
+
+    def written(plan, out):
+        for i in range(plan.children().size()):
+            written(plan.children().apply(i), out)
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            written(plan.executedPlan(), out)
+        elif name.endswith("QueryStage"):
+            written(plan.plan(), out)
+        elif name == "Exchange" and "text" in [a.name() for a in (plan.output().apply(i) for i in range(plan.output().size()))]:
+            out.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        return out
+
+    assert sum(written(kept._jdf.queryExecution().executedPlan(), [])) < 10
