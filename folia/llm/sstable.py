@@ -14,15 +14,15 @@ from __future__ import annotations
 import bisect
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, session, shared_dir
-from .runs import LONGEST, MOST, RunCache
+from .runs import RunCache
 
 MAGIC = b"FOLIASST"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -209,8 +209,8 @@ NORMALIZERS = {"NFC", "Replace", "Lowercase"}
 SPACES = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Runs of these characters alone are in normal form C however they stand together, and lower case is the same everywhere.
-PLAIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u00a1\u00bf\u00ab\u00bb\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*").fullmatch
-PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\n\x0b\f\ra-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+PLAIN = "^[\\x00-\\x7fÀ-ÖØ-öø-ÿ¡¿«»–—‘’“”…]*$"
+PART = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t\\n\\x0b\\f\\ra-z0-9ß-öø-ÿ]+"
 TOGETHER = 256  # parts encoded by one call
 
 
@@ -231,8 +231,9 @@ def parts_at_space(model: dict) -> bool:
 class TextEncoder:
     """The tokenizers library over whole texts.
 
-    Where the file parts at white space, each distinct run is encoded once. A run of plain characters is lowered and parted here
-    as the file says, and the library gets the distinct parts, many in one call; other runs go to it whole.
+    Where the file parts at white space, each distinct run is encoded once a batch. Runs of plain characters are lowered and parted by
+    Arrow as the file says, so Python sees distinct parts only, and the library gets those that aren't kept, many in one call; other
+    runs go to it whole.
     """
 
     def __init__(self, path: str):
@@ -244,8 +245,7 @@ class TextEncoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.added = [t["content"] for t in model.get("added_tokens", [])]
-        self.cache = RunCache(self.dtype, self._runs) if parts_at_space(model) else None
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts, self.runs = (RunCache(self.dtype, self._parts), RunCache(self.dtype, self._whole)) if parts_at_space(model) else (None, None)
 
     @property
     def width(self) -> int:
@@ -254,31 +254,44 @@ class TextEncoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _runs(self, runs: list[str]) -> list[tuple[int, ...]]:
-        joined = "\n".join(runs)
-        special = [a for a in self.added if a in joined]
-        cut = [PART.findall(low) if (run.isascii() or PLAIN(run)) and not any(a in run for a in special) else None for run, low in zip(runs, joined.lower().split("\n"), strict=True)]
-        whole = self._whole([run for run, parts in zip(runs, cut, strict=True) if parts is None])
-        if len(self.parts) > MOST:
-            self.parts.clear()
-        known = self.parts
-        new = list(set(chain.from_iterable(filter(None, cut))).difference(known))
-        for i in range(0, len(new), TOGETHER):
-            group = new[i : i + TOGETHER]
+    def _parts(self, parts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[] for p in parts if not p]  # the shortest come first
+        for i in range(len(out), len(parts), TOGETHER):
+            group = parts[i : i + TOGETHER]
             e = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-            ids, at = tuple(e.ids), np.searchsorted(np.asarray(e.word_ids), np.arange(len(group) + 1)).tolist()
-            known.update((p, ids[at[n] : at[n + 1]]) for n, p in enumerate(group))
-        rest = iter(whole)
-        out = [next(rest) if parts is None else known[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
+            ids, at = e.ids, np.searchsorted(np.asarray(e.word_ids), np.arange(len(group) + 1)).tolist()
+            out += [ids[a:b] for a, b in pairwise(at)]
         return out
 
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct runs, and where each run's begin and how many they are."""
+        plain = pc.match_substring_regex(runs, PLAIN)
+        for a in self.added:
+            plain = pc.and_not(plain, pc.match_substring(runs, a))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(runs.filter(plain)), PART, r"\0 "))
+        parts = cut.flatten().dictionary_encode()
+        ids, ends = self.parts.encode(parts.dictionary, np.asarray(parts.indices))
+        at = np.asarray(cut.offsets).astype(np.int64)
+        ends = ends[at - at[0]]
+        rest = runs.filter(pc.invert(plain))
+        more, stops = self.runs.encode(rest, np.arange(len(rest)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        begin, size = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        begin[plain], size[plain] = ends[:-1], np.diff(ends)
+        begin[~plain], size[~plain] = len(ids) + stops[:-1], np.diff(stops)
+        return np.concatenate([ids, more]), begin, size
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and the n + 1 offsets; null counts as empty."""
-        if self.cache is not None:
-            return self.cache.texts(texts)
+        if self.parts is not None and len(texts):
+            words = pc.ascii_split_whitespace(texts.fill_null("") if texts.null_count else texts)
+            at = np.asarray(words.offsets).astype(np.int64)
+            runs = words.flatten().dictionary_encode()
+            ids, begin, size = self._runs(runs.dictionary)
+            index = np.asarray(runs.indices)
+            n = size[index]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            return ids[np.repeat(begin[index] - ends[:-1], n) + np.arange(ends[-1])], ends[at - at[0]]
         encoded = self._whole([t or "" for t in texts.to_pylist()])
         ends = np.concatenate([[0], np.cumsum([len(e) for e in encoded], dtype=np.int64)]).astype(np.int64)
         return np.concatenate([np.zeros(0, self.dtype), *[np.asarray(e, self.dtype) for e in encoded]]), ends

@@ -501,3 +501,22 @@ def test_transducer_hard(spark, machine):
     assert all(r.decoded == (r.text or "").replace("▁", " ") for r in rows)
     assert all(r.round_trip == ("▁" not in (r.text or "")) for r in transducer.encoded_digest(hard(spark), machine).join(hard(spark).select("doc_id", "text"), "doc_id").collect() if r.doc_id != 3)
     assert transducer.encoded_digest(empty(spark), machine).count() == 0
+
+
+def test_runs_are_parted_before_they_are_kept():
+    """40,000 distinct runs of few parts leave few entries; ids are the library's, for runs that go to it whole too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    coder, library = sstable.TextEncoder(path), Tokenizer.from_file(path)
+    rng = random.Random(2)
+    words = ["alpha", "Beta", "don't", "WE'LL", "x's", "Ärger", "straße", "7", "42", "(", "''s", "--", "“q”", "…", "\x00", "\x1c", "naïve"]
+    runs = list({"".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(45_000)})[:40_000]
+    odd = ["", " ", "\n\t", "K", "\u0130x", "é", "日本 語", "a\u00a0b", "мир'S", "x" * 300, "ﬁ", "ſ's", "a\u2028b", *library.get_vocab(with_added_tokens=True).keys() - library.get_vocab(with_added_tokens=False).keys()]
+    texts = [" ".join(runs[i : i + 100]) for i in range(0, len(runs), 100)] + odd + [f"{a}x {a}" for a in odd] + [None]
+    for part in (texts, odd, ["日本"], ["a"], [""], [None], []):
+        ids, ends = coder.encode(pa.array(part, pa.string()))
+        want = [e.ids for e in library.encode_batch([t or "" for t in part], add_special_tokens=False)]
+        assert ends.tolist() == np.cumsum([0, *map(len, want)]).tolist() and ids.tolist() == [i for w in want for i in w]
+    assert len(coder.parts.known) < len(runs) / 10 and len(coder.runs.known) < 200
